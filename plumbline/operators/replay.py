@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from plumbline.functions.lexer import count_placeholders, is_ctas, max_in_params
 
@@ -82,7 +83,10 @@ def removed(old: DataFrame, new: DataFrame, hunks: DataFrame) -> DataFrame:
     return gone.withColumn("_base", base(F.col("id"))).join(kept, "_base", "left_anti").drop("_base").select("id", "sql", "type", "source", "line", "end_line")
 
 
-@F.pandas_udf("struct<placeholders:int,in_params:int,ctas:boolean>")
+_PROBE = StructType().add("placeholders", IntegerType()).add("in_params", IntegerType()).add("ctas", BooleanType())
+
+
+@F.pandas_udf(_PROBE)
 def _probe(sql):
     import pandas as pd
 

@@ -150,9 +150,9 @@ _ORIGINS = (
     f"transform(filter(statements, s -> s.create_table is not null or not s.create_index.is_unique), s -> named_struct('k', coalesce({I.normalize('s.create_table.table_name')}, {I.normalize('s.create_index.table_name')}), "
     "'t', coalesce(s.create_table.table_name, s.create_index.table_name)))"
 )
-_PKCOLS = f"element_at(filter({_KEYS}, p -> p.k = a.k), -1).cols"
-_COVER = f"filter({_ENTRIES}, b -> b.k = a.k and size(a.cols) > 0 and size(a.cols) < size(b.cols) and slice(b.cols, 1, size(a.cols)) = a.cols)[0]"
-_ORIGIN = f"filter({_ORIGINS}, o -> o.k = a.k)[0].t"
+_PKCOLS = f"try_element_at(filter({_KEYS}, p -> p.k = a.k), -1).cols"
+_COVER = f"get(filter({_ENTRIES}, b -> b.k = a.k and size(a.cols) > 0 and size(a.cols) < size(b.cols) and slice(b.cols, 1, size(a.cols)) = a.cols), 0)"
+_ORIGIN = f"get(filter({_ORIGINS}, o -> o.k = a.k), 0).t"
 _core(
     "DDL006", "no_redundant_index", "ddl-safety", "warning", True, "file",
     f"flatten(transform({_ENTRIES}, a -> case "

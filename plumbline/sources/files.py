@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 SQL_FILE = r"(?i)\.(sql|ddl|dml)$"
 EXCLUDED = (".git", "target", "node_modules", "vendor")
@@ -76,8 +77,6 @@ def _decode_python(files: DataFrame, label: str) -> DataFrame:
             out = [None if raw is None else _decode_one(raw, label) for raw in batch.column("content").to_pylist()]
             yield pa.record_batch([*(batch.column(i) for i in range(batch.num_columns)), pa.array(out, pa.string())], [*batch.schema.names, "text"])
 
-    from pyspark.sql.types import StringType, StructType
-
     return files.mapInArrow(run, StructType([*files.schema.fields]).add("text", StringType()))
 
 
@@ -101,18 +100,19 @@ _MARKS = [("EFBBBF", "File must be UTF-8 without BOM, but a UTF-8 BOM (EF BB BF)
 ]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def invalid_offset(content):
     """Offset of the first byte that is not valid UTF-8."""
 
     def one(raw):
         try:
-            raw.decode("utf-8")
+            if raw is not None:
+                raw.decode("utf-8")
         except UnicodeDecodeError as e:
             return e.start
         return None
 
-    return content.map(one)
+    return content.map(one).astype("Int64")
 
 
 def encoding_issue(content: Column) -> Column:

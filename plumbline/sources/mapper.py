@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StringType, _parse_datatype_string
 
 from plumbline import schemas
 from plumbline.functions.lexer import normalize_placeholders, repair_artifacts
@@ -317,7 +317,7 @@ def mapper_sql(files: DataFrame) -> DataFrame:
     return files.select("file_path", "text").mapInArrow(run, kind)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pick_candidate(a, b, c):
     """Column form of `pick` over the three renderings."""
     import pandas as pd
