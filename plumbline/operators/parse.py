@@ -31,18 +31,23 @@ def _parse_batches(dialect: str, fallback: tuple[str, ...], ast_type: StructType
     return run
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over at least as many tasks as there are cores. Only a scan with fewer splits than cores is dealt out anew; a
+    large one keeps its splits and is not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def parse_scripts(scripts: DataFrame, dialect: str = "generic", fallback: tuple[str, ...] = (), distinct_text: bool = False) -> DataFrame:
     """scripts with a column `ast`. A map without a shuffle; `distinct_text` parses each different text once instead (a
     shuffle of the texts), which pays only where most of them repeat."""
-    spark = scripts.sparkSession
-    spark.range(0)  # an active session is needed for the type string
     ast_type = _parse_datatype_string(schemas.AST)
     run = _parse_batches(dialect, tuple(fallback), ast_type)
     if distinct_text:
         texts = scripts.select("text").distinct()
         parsed = texts.mapInArrow(run, StructType([*texts.schema.fields]).add("ast", ast_type))
         return scripts.join(parsed, "text", "left").select(*scripts.columns, "ast")
-    return scripts.mapInArrow(run, StructType([*scripts.schema.fields]).add("ast", ast_type))
+    return spread(scripts).mapInArrow(run, StructType([*scripts.schema.fields]).add("ast", ast_type))
 
 
 def statements(asts: DataFrame) -> DataFrame:

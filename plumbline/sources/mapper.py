@@ -10,6 +10,7 @@ import itertools
 import re
 import xml.parsers.expat
 from collections.abc import Iterator
+from xml.sax import saxutils
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql.types import StringType, _parse_datatype_string
 
 from plumbline import schemas
 from plumbline.functions.lexer import normalize_placeholders, repair_artifacts
+from plumbline.operators.parse import spread
 from plumbline.plans.parser import parse
 
 STATEMENTS = ("select", "insert", "update", "delete")
@@ -287,34 +289,83 @@ def extract(xml_text: str, shared: dict[str, Node] | None = None) -> list[dict]:
     return out
 
 
-def mapper_sql(files: DataFrame) -> DataFrame:
-    """files (file_path, text of an XML mapper) -> one row a statement. Files that are no XML give no rows.
+_GIVEN = "array<struct<name:string,xml:string>>"
 
-    Fragments that other files may include are gathered first: the text of files that hold an <sql> element.
-    """
-    spark = files.sparkSession
-    holders = files.where(F.contains("text", F.lit("<sql"))).select("text")
-    shared_texts = spark.sparkContext.broadcast([r[0] for r in holders.toLocalIterator()])  # fragment files only; they are code, not data
+
+def _to_xml(n: Node) -> str:
+    if n.tag == "":
+        return saxutils.escape(n.text)
+    attrs = "".join(f" {k}={saxutils.quoteattr(v)}" for k, v in n.attrs.items())
+    return f"<{n.tag}{attrs}>{''.join(map(_to_xml, n.kids))}</{n.tag}>"
+
+
+def fragments(files: DataFrame) -> DataFrame:
+    """(name, xml, needs) of every <sql> element; needs: what it includes itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, xmls = [], []
+            for text in batch.column("text").to_pylist():
+                try:
+                    found = fragments_of(read_tree(text or ""))
+                except (xml.parsers.expat.ExpatError, ValueError):
+                    continue
+                names += found
+                xmls += map(_to_xml, found.values())
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(xmls, pa.string())], ["name", "xml"])
+
+    out = files.where(F.contains("text", F.lit("<sql"))).select("text").mapInArrow(run, "name string, xml string")
+    return out.withColumn("needs", _refs("xml")).dropDuplicates(["name"])
+
+
+def _refs(column: str):
+    return F.array_distinct(F.regexp_extract_all(column, F.lit(r"<include[^>]*refid\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1)))
+
+
+def _extract(files: DataFrame) -> DataFrame:
+    """files (file_path, text, given) -> statements."""
     kind = _parse_datatype_string(schemas.MAPPER_SQL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared: dict[str, Node] = {}
-        for text in shared_texts.value:
-            try:
-                shared |= fragments_of(read_tree(text))
-            except (xml.parsers.expat.ExpatError, ValueError):
-                continue
         arrow = to_arrow_schema(kind)
         for batch in batches:
             rows = []
-            for path, text in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for path, text, given in zip(*(batch.column(c).to_pylist() for c in ("file_path", "text", "given")), strict=True):
                 try:
+                    shared = {g["name"]: read_tree(g["xml"]).kids[0] for g in given or []}
                     rows += [{"file_path": path} | r for r in extract(text or "", shared)]
                 except (xml.parsers.expat.ExpatError, ValueError):
                     continue
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select("file_path", "text").mapInArrow(run, kind)
+    return files.select("file_path", "text", "given").mapInArrow(run, kind)
+
+
+def mapper_sql(files: DataFrame, across_files: bool = True) -> DataFrame:
+    """files (file_path, text of an XML mapper) -> one row a statement. Files that are no XML give no rows.
+
+    A file whose includes are all its own is read in one pass. Only files that name fragments of others are joined with the
+    table of fragments (by name, and again for what those fragments include).
+    """
+    none = F.lit(None).cast(_GIVEN)
+    namespace = F.regexp_extract("text", r"<(?:mapper|sqlMap)[^>]*namespace\s*=\s*[\"']([^\"']*)[\"']", 1)
+    own = F.regexp_extract_all("text", F.lit(r"<sql[^>]*\bid\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    rows = spread(files.select("file_path", "text")).withColumn("needs", F.array_except(_refs("text"), F.concat(own, F.transform(own, lambda i: F.concat(namespace, F.lit("."), i)))))
+    alone = rows if not across_files else rows.where(F.size("needs") == 0)
+    result = _extract(alone.withColumn("given", none))
+    if not across_files:
+        return result
+    table = fragments(files)
+    asked = rows.where(F.size("needs") > 0).select("file_path", F.explode("needs").alias("name"))
+    have = None
+    for _ in range(INCLUDE_DEPTH):
+        found = asked.join(table, "name").select("file_path", "name", "xml", "needs")
+        have = found if have is None else have.unionByName(found)
+        asked = found.select("file_path", F.explode("needs").alias("name")).join(have.select("file_path", "name"), ["file_path", "name"], "left_anti").distinct()
+        if not asked.limit(1).count():
+            break
+    given = have.groupBy("file_path").agg(F.collect_list(F.struct("name", "xml")).alias("given"))  # the includes of one file
+    return result.unionByName(_extract(rows.where(F.size("needs") > 0).join(given, "file_path", "left")))
 
 
 @F.pandas_udf(StringType())
