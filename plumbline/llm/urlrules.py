@@ -72,7 +72,23 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")) & (F.size("antecedent") <= MAX_TOKENS))
     tokens = F.array_sort("antecedent")
-    return materialize(found.select(F.xxhash64(tokens, "consequent").alias("rule_id"), tokens.alias("tokens"), F.substring(F.col("consequent")[0], 2, 1 << 20).alias("verdict"), "confidence", "support"))
+    rules = found.select(F.xxhash64(tokens, "consequent").alias("rule_id"), tokens.alias("tokens"), F.substring(F.col("consequent")[0], 2, 1 << 20).alias("verdict"), "confidence", "support")
+    return materialize(prune_redundant(materialize(rules)))
+
+
+def prune_redundant(rules: DataFrame) -> DataFrame:
+    """Drop a rule if one with fewer of its tokens gives the same verdict with at least its confidence.
+
+    The shorter rule fires wherever the dropped one does, with the same verdict. The parts of a rule (at most 2^MAX_TOKENS) are looked up by
+    equality, so rules are not compared pairwise.
+    """
+    size = F.size("tokens")
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), size).cast("int") - 2)
+    part = F.filter(F.col("tokens"), lambda _, i: F.getbit(F.col("mask"), i) == 1)
+    parts = rules.where(size > 1).withColumn("mask", F.explode(masks)).select("rule_id", "verdict", F.col("confidence").alias("own"), part.alias("tokens"))
+    shorter = rules.select("tokens", "verdict", "confidence")
+    redundant = parts.join(shorter, ["tokens", "verdict"]).where("confidence >= own").select("rule_id").distinct()
+    return rules.join(redundant, "rule_id", "left_anti")
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
