@@ -265,7 +265,7 @@ def payload_of(head: Header, coefs: np.ndarray) -> bytes:
 
 
 def to_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text", 2 << 20):
+    for batch in chunks(batches, "text"):
         data, offs = text_buffer(batch.column("text"))
         raw, size = data.tobytes(), np.diff(offs)
         padded = np.maximum(-(-size // BLOCK), 1) * BLOCK
@@ -279,7 +279,7 @@ def read_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         images = batch.column("media").to_pylist()
         while at < len(images):
             to, held = at, 0
-            while to < len(images) and (to == at or held + len(images[to]) < 4 << 20):
+            while to < len(images) and (to == at or held + len(images[to]) < 1 << 20):
                 held += len(images[to])
                 to += 1
             rows = []

@@ -17,7 +17,7 @@ import pandas as pd
 from plumbline.llm.textvec import ragged, range_hashes
 
 #: Seen pre-tokens a worker keeps before it starts anew: bounds memory, changes no result.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
