@@ -1,8 +1,8 @@
 """Licence scans by a positional rare-token index (Spark expressions only).
 
 The text is tokenised once. A document goes on if, for some template, enough of its words occur at all. For those documents
-the corpus-wide document frequency of the licence words tells which word of a template is the rarest (highest IDF); the
-postings of that anchor give candidate places, the other words are looked up at their relative positions, and a template
+the corpus-wide document frequency of the licence words tells which words of a template are the rarest (highest IDF); the
+postings of these anchors give candidate places, the other words are looked up at their relative positions, and a template
 counts where enough of them agree and, for long templates, its mandatory key phrase stands in the document too.
 
 Defined cases: null texts are empty; no words: zero counts, null places, empty labels, score 0; equal frequencies: the word
@@ -71,7 +71,7 @@ def _strings(words) -> Column:
 def _possible(present: Column, t: Template) -> Column:
     """All words of the key phrase, and enough of the template's, occur somewhere."""
     own = list(dict.fromkeys(t.words))
-    missing = int(len(t.words) * (1 - t.agree) + 1e-9)
+    missing = _may_miss(t)
     key = list(dict.fromkeys(t.key))
     return (F.size(F.array_intersect(present, _strings(own))) >= len(own) - missing) & (F.size(F.array_intersect(present, _strings(key))) == len(key))
 
@@ -91,16 +91,26 @@ def index(docs: DataFrame, found: list[Template]) -> DataFrame:
     return known.select("doc_id", F.size("words").cast("long").alias("n_words"), "present", F.when(possible, F.col("words")).alias("words"))
 
 
-def anchors(indexed: DataFrame, found: list[Template]) -> list[int]:
-    """Place of the rarest word in each template, by document frequency over the corpus."""
+def _may_miss(t: Template) -> int:
+    return int(len(t.words) * (1 - t.agree) + 1e-9)
+
+
+def anchors(indexed: DataFrame, found: list[Template]) -> list[list[int]]:
+    """Places of the rarest words in each template, by document frequency over the corpus: one more than may be missing, so
+    that every place where enough words agree has an anchor."""
     frequency = {r[0]: r[1] for r in indexed.select(F.explode("present").alias("w")).groupBy("w").count().collect()}  # licence words only
-    return [min(range(len(t.words)), key=lambda i, t=t: (frequency.get(t.words[i], 0), i)) for t in found]
+    return [sorted(range(len(t.words)), key=lambda i, t=t: (frequency.get(t.words[i], 0), i))[: _may_miss(t) + 1] for t in found]
 
 
-def _places(words: Column, t: Template, anchor: int) -> Column:
+def _places(words: Column, t: Template, places: list[int]) -> Column:
     """Starts at which the phrase stands (exact templates) with their agreement: array of (start, agree)."""
     n = len(t.words)
-    posting = F.filter(F.transform(words, lambda w, i: F.when(w == t.words[anchor], i - anchor)), lambda s: s.isNotNull() & (s > -n))
+
+    def starts(k: int) -> Column:
+        return F.transform(words, lambda w, i: F.when(w == t.words[k], i - k))
+
+    postings = [starts(k) for k in places]
+    posting = F.filter(F.array_distinct(F.concat(*postings)), lambda s: s.isNotNull() & (s > -n))
     agree = lambda s: F.aggregate(F.transform(_strings(t.words), lambda w, j: F.when(F.get(words, s + j) == w, F.lit(1)).otherwise(F.lit(0))), F.lit(0), lambda a, x: a + x)
     scored = F.transform(posting, lambda s: F.struct(s.cast("long").alias("start"), (agree(s) / n).alias("agree")))
     return F.filter(scored, lambda x: (x["agree"] >= t.agree - 1e-9) & (x["start"] >= 0 if t.base else F.lit(True)))
@@ -113,8 +123,8 @@ def scan(docs: DataFrame, found: list[Template] | None = None) -> DataFrame:
     rare = anchors(indexed, found)
     empty = F.array().cast("array<struct<start:long,agree:double>>")
     rows = indexed
-    for k, (t, anchor) in enumerate(zip(found, rare, strict=True)):
-        places = _places(F.col("words"), t, anchor)
+    for k, (t, own) in enumerate(zip(found, rare, strict=True)):
+        places = _places(F.col("words"), t, own)
         rows = rows.withColumn(f"p{k}", F.when(F.col("words").isNotNull() & _possible(F.col("present"), t), places).otherwise(empty))
     text = F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" "))
     hit, base_hit = [], []

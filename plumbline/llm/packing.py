@@ -2,7 +2,8 @@
 
 Round 0 tokenises and packs inside each partition: pieces go by best fit, longest first, and bins that are nearly full
 are final. Bins with room left travel as items to fewer and fewer tasks (a tree of `FAN_IN`), where best fit merges whole
-bins, until one task is left or a round saves next to nothing. Only piece metadata moves; texts never do.
+bins, or their pieces where that needs fewer bins, until one task is left or a round saves next to nothing. Only piece
+metadata moves; texts never do.
 
 Defined cases: a null or empty text is the end id alone (one piece of length 1); repeated rows and repeated or null ids
 are packed row by row; an empty table gives an empty result; other columns of the input are ignored.
@@ -118,7 +119,7 @@ def _tokenize(capacity: int, end_id: int, path: str | None):
 
 
 def _merge(capacity: int, level: int):
-    """Best fit over whole bins; the rows of a bin follow one another."""
+    """Best fit over whole bins, or over their pieces if that needs fewer; the rows of a bin follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, used, rest = TaskContext.get().partitionId(), 0, None
@@ -129,8 +130,12 @@ def _merge(capacity: int, level: int):
             heads = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
             of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(seq))))
             bins, base, fill = best_fit(np.add.reduceat(length, heads), capacity)
+            bins, offsets = bins[of], table["offset"].to_numpy() + base[of]
+            loose = best_fit(length, capacity)
+            if len(loose[2]) < len(fill):
+                bins, offsets, fill = loose
             full = np.array(fill) >= NEARLY_FULL * capacity
-            new = {"sequence_id": pa.array(bins[of] + _number(level, part, used)), "offset": pa.array(table["offset"].to_numpy() + base[of]), "open": pa.array(~full[bins][of])}
+            new = {"sequence_id": pa.array(bins + _number(level, part, used)), "offset": pa.array(offsets), "open": pa.array(~full[bins])}
             used += len(fill)
             return pa.record_batch([new[n] if n in new else table[n].combine_chunks() for n in _ARROW.names], schema=_ARROW)
 
