@@ -127,3 +127,30 @@ def report_summary(results: DataFrame) -> DataFrame:
         n(F.col("level") == "warn").alias("slow_warn"), n(F.col("level") == "error").alias("slow_error"), F.coalesce(F.sum("n_findings"), F.lit(0)).alias("findings"),
     )
     return row.withColumn("exit_code", F.when((F.col("slow_error") > 0) | (F.col("errors") > 0), 1).otherwise(0))
+
+
+MANIFEST_VERSION = "1"
+MANIFEST = "version string, id string, sql string, type string, source string, source_type string, line long, end_line long, statement_id string, parse_error string, variant_of string, variant_label string"
+
+
+def write_manifest(statements: DataFrame, path: str) -> None:
+    """One JSON object a line, written in parallel."""
+    statements.withColumn("version", F.lit(MANIFEST_VERSION)).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark, path: str) -> DataFrame:
+    """Rows of another version are an error."""
+    rows = spark.read.schema(MANIFEST).json(path)
+    wrong = F.col("version").isNull() | (F.col("version") != MANIFEST_VERSION)
+    return rows.withColumn("version", F.when(wrong, F.raise_error(F.lit("unsupported manifest version"))).otherwise(F.col("version"))).where("version is not null").drop("version")
+
+
+def report_html(results: DataFrame) -> str:
+    """results (stmt_id, status, level, n_findings) as a page: the summary, then statements with findings or errors."""
+    import html
+
+    s = report_summary(results).first().asDict()
+    head = "".join(f"<li>{k}: {v}</li>" for k, v in s.items())
+    rows = results.where("status = 'error' or level <> 'none' or n_findings > 0").orderBy("stmt_id").collect()
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in (r.stmt_id, r.status, r.level, r.n_findings)) + "</tr>" for r in rows)
+    return f"<!DOCTYPE html><html><body><ul>{head}</ul><table>{body}</table></body></html>"

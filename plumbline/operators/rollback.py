@@ -273,3 +273,28 @@ def prerequisites(found: DataFrame, o: Options = Options(), accept_table_lock: b
 def review(found: DataFrame) -> DataFrame:
     """Statements to review, by level."""
     return found.where("review_level <> 'none'").select("review_level", "seq", "file_path", "line", "stmt_kind", "target_table", "warnings")
+
+
+def long_transaction_check(dialect: str) -> str:
+    """A statement that lists transactions that have run for a minute or more."""
+    if dialect == "mysql":
+        return "-- check: long transactions\nSELECT trx_id, trx_started FROM information_schema.innodb_trx WHERE trx_started < NOW() - INTERVAL 60 SECOND;\n"
+    return "-- check: long transactions\nSELECT pid, xact_start FROM pg_stat_activity WHERE xact_start < now() - interval '60 seconds';\n"
+
+
+def binlog_control(mode: str) -> str:
+    """`off`: the session writes no binary log; otherwise nothing."""
+    return "SET SESSION sql_log_bin = 0;\n" if mode == "off" else ""
+
+
+def review_html(found: DataFrame, title: str = "Rollback review") -> str:
+    """An HTML page of the statements to review, those that must be first."""
+    import html
+
+    parts = []
+    rows = review(found).orderBy("review_level", "seq").collect()
+    for level in ("required", "optional"):
+        own = [r for r in rows if r.review_level == level]
+        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x if x is not None else ''))}</td>" for x in (r.seq, r.file_path, r.line, r.stmt_kind, r.target_table, r.warnings)) + "</tr>" for r in own)
+        parts.append(f"<h2>{level} ({len(own)})</h2><table><tr><th>seq</th><th>file</th><th>line</th><th>kind</th><th>table</th><th>warnings</th></tr>{body}</table>")
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{''.join(parts)}</body></html>"
