@@ -305,7 +305,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     least = labels.groupBy("class").agg(F.min("first_id").alias("class_first"))
     linked = labels.join(least, "class").join(links, ["k1", "k2"], "left").select("k1", "k2", "class_first", "links")
     known = nodes.select("k1", "k2", "first_id", "copies").join(linked, ["k1", "k2"], "left")
-    known = known.select("k1", "k2", F.coalesce("class_first", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # written out, so that the join below shuffles both sides and AQE can split the partition of a text with very many copies
+    known = materialize(known.select("k1", "k2", F.coalesce("class_first", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     found_words = with_words.select("doc_id", "k1", "k2").join(known, ["k1", "k2"], "left")
     return found_words.select("doc_id", "class_id", "n_links").unionByName(sketches.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
