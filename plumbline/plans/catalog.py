@@ -127,6 +127,14 @@ def line_range_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 2, 2), "\n").alias("lines"))
 
 
+@query
+def text_slices(spark, sf):
+    """Characters from line 1, column 5 up to line 3, column 9."""
+    from plumbline.functions.text import text_slice
+
+    return table(spark, sf, "documents").select("doc_id", text_slice(F.col("text"), 1, 5, 3, 9).alias("part"))
+
+
 @query
 def line_endings(spark, sf):
     """Line-ending findings on documents with injected carriage returns."""

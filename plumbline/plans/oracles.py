@@ -132,6 +132,10 @@ ORACLES["ast_aggregates"] = _facts(
 ORACLES["statement_at_line"] = _facts(8, ["kind", "line"], [(0, "DELETE", 2), (1, None, None), (2, "SELECT", 2), (3, "CREATE_TABLE", 2), (4, "ALTER_TABLE", 2), (5, None, None), (6, None, None), (7, None, None)], {"line": "BIGINT"})
 
 ORACLES["line_range_text"] = "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents"
+ORACLES["text_slices"] = """
+SELECT doc_id, substring(l[1], 5) || CASE WHEN len(l) > 1 THEN chr(10) || l[2] ELSE '' END || CASE WHEN len(l) > 2 THEN chr(10) || substring(l[3], 1, 8) ELSE '' END AS part
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+"""
 ORACLES["line_endings"] = """
 WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(text, chr(10), chr(13))
              WHEN 2 THEN 'a' || chr(13) || chr(10) || 'b' || chr(13) || 'c' || chr(10) || text ELSE text END AS x FROM documents),

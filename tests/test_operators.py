@@ -217,3 +217,12 @@ def test_stream(spark, tmp_path):
         check_stream.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "out")).count() == again
         (tmp_path / "in" / "b.sql").write_text("DELETE FROM t")
+
+
+def test_text_slice(spark):
+    from plumbline.functions.text import line_range, text_slice
+
+    row = spark.createDataFrame([("ab\ncdef\n\ngh",)], "t string")
+    one = lambda *a: row.select(text_slice(F.col("t"), *a).alias("x")).first().x
+    assert [one(1, 2, 2, 3), one(2, 3, 2, 0), one(2, 2, 2, 4), one(2, 1, 1, 1), one(4, 9, 4, 0), one(3, 1, 9, 2), one(0, 0, 1, 99)] == ["b\ncd", "ef", "de", "", "", "\ngh", "ab"]
+    assert row.select(line_range(F.col("t"), 2, 3).alias("x")).first().x == "cdef\n"
