@@ -2,8 +2,8 @@
 
 Eight labellers look at statistics of the whole text (plain words, marks, case, symbols, word length, repetition) and vote good, bad or abstain. How often each combination of votes
 occurs is counted over all documents (3^8 combinations at most, so the driver's table is bounded), and EM estimates each
-labeller's error rates and the posterior of `bad` for each combination. A logistic scorer over hashed byte 4-grams is then
-fitted to the posteriors of a bounded sample (`SAMPLE` documents) and scores all documents.
+labeller's rates of votes among good and bad, and the posterior of `bad` for each combination. A logistic scorer over hashed byte 4-grams and hashed
+classes of the statistics (4-grams alone do not show repetition) is then fitted to the posteriors of a bounded sample (`SAMPLE` documents) and scores all documents.
 
 Defined cases: a null or empty text has no features; it is bad (score 0) and is not kept. Equal texts score alike; repeated
 rows and null ids are kept as rows; if no labeller ever votes, everything scores alike and is kept; an empty table gives an
@@ -26,6 +26,13 @@ LABELLERS = ("plain words", "marks", "upper case", "symbols", "word length", "di
 #: Documents of which the scorer is fitted at most, about; drawn by hash over all documents.
 SAMPLE = 4000
 FEATURE_BITS = 16
+#: Value of a hashed statistic in the linear scorer, where the 4-grams of a document share the value 1.
+STATISTIC = 0.25
+MAX_WEIGHT = 3.0
+#: Words in a block in which distinct words are counted, so that the share does not fall with the length of a text.
+BLOCK = 256
+#: Marks beyond the tolerated share that say nothing yet: a sentence of three words has its marks, too.
+SPARE_MARKS = 5
 STEPS = 120
 #: Kept from this probability of `good` on.
 KEEP = 0.5
@@ -40,10 +47,12 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*+=<>@^_`{}~[]\\/"]] = True
 
 
-def _distinct(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Share of different values among those of each document; 1 for none."""
+def _distinct(hashes: np.ndarray, first: np.ndarray, block: int | None = None) -> np.ndarray:
+    """Share of different values among those of each document, or of each block of it; 1 for none."""
     size = np.diff(first)
     own = hashes ^ mix(np.repeat(np.arange(len(size), dtype=np.uint64), size) + np.uint64(1))
+    if block:
+        own = own ^ mix(((np.arange(len(hashes)) - np.repeat(first[:-1], size)) // block).astype(np.uint64) + np.uint64(1 << 32))
     _, at = np.unique(own, return_index=True)
     return np.where(size > 0, np.bincount(np.searchsorted(first, at, "right") - 1, minlength=len(size)) / np.maximum(size, 1), 1.0)
 
@@ -74,18 +83,17 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     one = np.maximum(chars, 1)
     grams, gram_first = ngrams(found, 5)
     return {
-        "words": words, "plain": segment_sum(plain.astype(np.int64), first) / n, "marks": count(~letter & ~space & ~((data >= 48) & (data <= 57))) / one,
+        "words": words, "chars": chars, "plain": segment_sum(plain.astype(np.int64), first) / n, "marks": count(~letter & ~space & ~((data >= 48) & (data <= 57))) / one,
         "upper": count(_UPPER[data]) / np.maximum(count(letter & _HEAD[data]), 1), "symbols": count(_SYMBOL[data]) / one, "word_length": count(~space & _HEAD[data]) / n,
-        "distinct_words": _distinct(found.hashes, found.first), "distinct_grams": _distinct(grams, gram_first), "distinct_lines": _distinct(range_hashes(data, line_starts, line_ends), line_first),
+        "distinct_words": _distinct(found.hashes, found.first, BLOCK), "distinct_grams": _distinct(grams, gram_first), "distinct_lines": _distinct(range_hashes(data, line_starts, line_ends), line_first),
     }
 
 
-def votes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(documents, labellers): 0 good, 1 bad, 2 abstains."""
-    s = statistics(data, offs)
+def votes(s: dict[str, np.ndarray]) -> np.ndarray:
+    """(documents, labellers) from `statistics`: 0 good, 1 bad, 2 abstains."""
     bad = lambda mask: np.where(mask, 1, 2)
     v = [
-        np.where(s["plain"] < 0.7, 1, np.where(s["plain"] > 0.93, 0, 2)), bad(s["marks"] > 0.08), bad(s["upper"] > 0.4), bad(s["symbols"] > 0.04), bad((s["word_length"] > 18) | (s["word_length"] < 2)),
+        np.where(s["plain"] < 0.7, 1, np.where(s["plain"] > 0.93, 0, 2)), bad((s["marks"] - 0.08) * s["chars"] > SPARE_MARKS), bad(s["upper"] > 0.4), bad(s["symbols"] > 0.04), bad((s["word_length"] > 18) | (s["word_length"] < 2)),
         bad(s["distinct_words"] < 0.4), np.where(s["distinct_grams"] < 0.7, 1, np.where(s["distinct_grams"] > 0.95, 0, 2)), bad(s["distinct_lines"] < 0.7),
     ]
     return np.stack(v, 1).astype(np.int64)
@@ -95,24 +103,27 @@ _PLACE = 3 ** np.arange(len(LABELLERS))
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Posterior of `bad` for each combination of votes: each labeller has an accuracy, and abstaining says nothing.
+    """Posterior of `bad` for each combination of votes: each labeller has rates of its three votes among good and bad.
 
-    Starts at accuracies of 0.85 and one bad document in five. An accuracy stays above chance, so that a labeller that few
-    others overlap with isn't turned around.
+    Rates differ by class, since a labeller of one defect is rarely wrong when it votes bad and blind to other defects.
+    Starts at one bad document in five and a bad vote much likelier on those. A vote never argues against its own side,
+    abstaining says nothing, and a single vote weighs e^3 at most, so no labeller decides alone against others.
     """
-    cast, against = patterns < 2, patterns == 1
-    accuracy, prior = np.full(patterns.shape[1], 0.85), 0.2
+    is_vote = patterns[:, :, None] == np.arange(3)
+    first = np.array([[0.6, 0.05, 0.35], [0.2, 0.4, 0.4]])
+    rates, prior = np.repeat(first[:, None], patterns.shape[1], 1), 0.2
+    low, high = np.array([-MAX_WEIGHT, 0.0, 0.0]), np.array([0.0, MAX_WEIGHT, 0.0])
     bad = np.zeros(len(patterns))
     for _ in range(rounds):
-        weight = np.log(accuracy / (1 - accuracy))
-        odds = (np.where(against, weight, -weight) * cast).sum(1) + np.log(prior / (1 - prior))
+        weight = np.clip(np.log(rates[1] / rates[0]), low, high)
+        odds = (is_vote * weight).sum((1, 2)) + np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-odds))
         if np.abs(new - bad).max(initial=0) < 1e-9:
             break
         bad = new
-        right = np.where(against, bad[:, None], 1 - bad[:, None]) * cast
-        accuracy = ((counts[:, None] * right).sum(0) + 8.5) / ((counts[:, None] * cast).sum(0) + 10)
-        accuracy = np.clip(accuracy, 0.6, 0.98)
+        for k, share in enumerate((1 - bad, bad)):
+            seen = ((counts * share)[:, None, None] * is_vote).sum(0) + 10 * first[k]
+            rates[k] = seen / seen.sum(1, keepdims=True)
         prior = min(max(float((counts * bad).sum() / max(counts.sum(), 1)), 0.01), 0.5)
     return bad
 
@@ -126,10 +137,17 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return gram, offs
 
 
+def classes(s: dict[str, np.ndarray]) -> np.ndarray:
+    """(documents, statistics): hashed feature of each statistic's class."""
+    shares = ("plain", "marks", "upper", "symbols", "distinct_words", "distinct_grams", "distinct_lines")
+    level = np.stack([np.minimum(np.sqrt(s[k]) * 16, 16) for k in shares] + [np.minimum(s["word_length"], 31)], 1).astype(np.uint64)
+    return (mix(level + np.arange(level.shape[1], dtype=np.uint64) * np.uint64(64) + np.uint64(1)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+
+
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adagrad on mean feature values; returns (weights, bias) of the log odds of `good`."""
+    """Logistic regression by Adagrad on (features, values); returns (weights, bias) of the log odds of `good`."""
     index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64)
-    value = np.concatenate([v / max(v.sum(), 1) for _, v in rows]) if rows else np.zeros(0)
+    value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
     of = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     w, bias = np.zeros(1 << FEATURE_BITS), 0.0
     past, past_bias = np.full(len(w), 1e-8), 1e-8
@@ -149,37 +167,38 @@ class Scorer:
         order = np.argsort(patterns)
         self.patterns, self.bad, self.weights, self.bias = patterns[order], bad[order], weights, bias
 
-    def posterior(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def posterior(self, stats: dict[str, np.ndarray]) -> np.ndarray:
         """Posterior of `good` from the votes alone."""
-        code = votes(data, offs) @ _PLACE
+        code = votes(stats) @ _PLACE
         return 1 - self.bad[np.searchsorted(self.patterns, code)]
 
-    def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def score(self, data: np.ndarray, offs: np.ndarray, stats: dict[str, np.ndarray]) -> np.ndarray:
         """Probability of `good` by the linear scorer; 0 for an empty text."""
         if not len(data):
             return np.zeros(len(offs) - 1)
         gram, first = features(data, offs)
         size = np.diff(offs)
-        mean = segment_sum(self.weights[gram], first) / np.maximum(size, 1)
-        return np.where(size > 0, 1 / (1 + np.exp(-np.clip(mean + self.bias, -50, 50))), 0.0)
+        odds = segment_sum(self.weights[gram], first) / np.maximum(size, 1) + STATISTIC * self.weights[classes(stats)].sum(1) + self.bias
+        return np.where(size > 0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))), 0.0)
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
-        code, n = np.unique(votes(*text_buffer(batch.column("text"))) @ _PLACE, return_counts=True)
+        code, n = np.unique(votes(statistics(*text_buffer(batch.column("text")))) @ _PLACE, return_counts=True)
         yield pa.record_batch([pa.array(code), pa.array(n)], ["pattern", "n"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         data, offs = text_buffer(batch.column("text"))
-        code = votes(data, offs) @ _PLACE
+        stats = statistics(data, offs)
+        code, extra = votes(stats) @ _PLACE, classes(stats)
         gram, _ = features(data, offs)
         index, value = [], []
-        for a, b in zip(offs[:-1], offs[1:], strict=True):
+        for a, b, more in zip(offs[:-1], offs[1:], extra, strict=True):
             i, v = np.unique(gram[a:b], return_counts=True)
-            index.append(i.astype(np.uint16).tobytes())
-            value.append(np.minimum(v, 65535).astype(np.uint16).tobytes())
+            index.append(np.concatenate([i, more]).astype(np.uint16).tobytes())
+            value.append(np.concatenate([v / max(b - a, 1), np.full(len(more), STATISTIC)]).astype(np.float32).tobytes())
         yield pa.record_batch([pa.array(code), pa.array(index), pa.array(value)], ["pattern", "index", "value"])
 
 
@@ -191,7 +210,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
     share = int(min(1.0, sample / max(n.sum(), 1)) * (1 << 30))
     draw = F.pmod(F.xxhash64(F.col("text"), F.col("doc_id").cast("string")), F.lit(1 << 30)) < share
     drawn = docs.where(draw & F.col("text").isNotNull()).select("text").mapInArrow(_sampled, "pattern long, index binary, value binary").toArrow()
-    rows = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.uint16).astype(np.float64)) for i, v in zip(drawn["index"].to_pylist(), drawn["value"].to_pylist(), strict=True)]
+    rows = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for i, v in zip(drawn["index"].to_pylist(), drawn["value"].to_pylist(), strict=True)]
     target = bad[order][np.searchsorted(code[order], np.array(drawn["pattern"].to_pylist(), np.int64))] if rows else np.zeros(0)
     weights, bias = fit_scorer(rows, target)
     return Scorer(code, bad, weights, bias)
@@ -204,9 +223,10 @@ def classify(docs: DataFrame, model: Scorer | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, offs = text_buffer(batch.column("text"))
-            n = (votes(data, offs) < 2).sum(1)
-            score = shared.value.score(data, offs)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(shared.value.posterior(data, offs)), pa.array(score), pa.array(score >= KEEP)], ["doc_id", "n_votes", "posterior", "score", "kept"])
+            stats = statistics(data, offs)
+            n = (votes(stats) < 2).sum(1)
+            score = shared.value.score(data, offs, stats)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(shared.value.posterior(stats)), pa.array(score), pa.array(score >= KEEP)], ["doc_id", "n_votes", "posterior", "score", "kept"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_votes int, posterior double, score double, kept boolean")
 
@@ -214,4 +234,9 @@ def classify(docs: DataFrame, model: Scorer | None = None) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-    return keep_rows(docs, lambda: lambda batch: shared.value.score(*text_buffer(batch.column("text"))) >= KEEP)
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        data, offs = text_buffer(batch.column("text"))
+        return shared.value.score(data, offs, statistics(data, offs)) >= KEEP
+
+    return keep_rows(docs, lambda: keep)
