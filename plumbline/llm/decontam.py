@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment of words scores them.
+"""Benchmark decontamination: rare words of a test item find passages, Smith-Waterman alignment of words scores them.
 
-Word trigrams of the test items are counted over the whole corpus (document frequency). Of every run of `WINDOW` successive
-trigrams of an item the rarest one becomes a seed, so that any passage that keeps a few words in a row holds one. Seeds that
-occur in a document are chained by diagonal; each chain's window is aligned with the item, many windows at a time. The score
-is the local alignment's, over that of the whole item with itself.
+The score is the local alignment's, over that of the whole item with itself; a pair is reported if it reaches `THRESHOLD`
+and the alignment is worth more than two words (`LEAST`). Such an alignment matches at least `need / MATCH` words of the item,
+so of any `size - need / MATCH + k` words it matches k or more. The item's rarest words by count over the corpus, so many of
+them that k is `HITS`, are its seeds: a document without k hits on near diagonals cannot align. Nothing is left out by
+frequency, and words that are in no document only fill their places. Windows around hits are dropped if too few of the item's
+words are in them; the others are aligned, many at a time.
 
 The test items are searched for in blocks of at most `BLOCK_BYTES` of text: one block's index is what tasks get, however
 large the benchmark is, and each block goes against all documents.
 
-Defined cases: null texts are empty; an item of fewer than three words has no seed and is never found; a document without
+Defined cases: null texts are empty; an item of fewer than three words is never found; a document without
 words is clean; ties of score go to the first window; repeated rows and null ids are kept; with an empty benchmark nothing is
 contaminated; other columns are ignored.
 """
@@ -23,166 +25,197 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import keep_rows
-from plumbline.llm.textvec import Words, chunks, ngrams, ragged, text_buffer
+from plumbline.llm.textvec import Words, chunks, ragged, text_buffer
 
-N, WINDOW = 3, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
+#: An alignment below this is never reported: two words in a row reach 2 * MATCH.
+LEAST = 2 * MATCH + 1
 BLOCK_BYTES = 32 << 20
-#: One seed alone is followed up if at most this share of the documents has it; commoner ones need a second.
-RARE_SHARE = 1e-4
+#: Seed hits that a window must have (fewer for items that can be found by fewer words).
+HITS = 4
+#: Seed hits that are followed up at a time (those of one document stay together).
+_AT_ONCE = 1 << 20
 _ALIGN = 512
 
 
 class Index:
-    """Words and trigrams of a block of test items; `seeds` are added when the corpus has been counted."""
+    """Words of a block of test items; seeds are added when the corpus has been counted."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[str | None], threshold: float = THRESHOLD):
         self.ids = ids
         words = Words(*text_buffer(pa.array(texts, pa.large_string())))
-        self.words, self.first = words.hashes, words.first
-        self.grams, self.gram_first = ngrams(words, N)
-        self.vocabulary = np.unique(self.grams)
-        self.seeds = np.zeros(0, np.uint64)
-
-    def choose(self, frequency: np.ndarray, documents: int) -> None:
-        """frequency: documents that have each trigram of the vocabulary."""
-        often = frequency[np.searchsorted(self.vocabulary, self.grams)]
-        chosen = np.zeros(len(often), bool)
-        for a, b in zip(self.gram_first[:-1].tolist(), self.gram_first[1:].tolist(), strict=True):
-            for at in range(a, max(b - WINDOW + 1, a + 1) if b > a else a):
-                chosen[at + int(often[at : min(at + WINDOW, b)].argmin())] = True
-        place = np.flatnonzero(chosen)
-        order = np.argsort(self.grams[place], kind="stable")
-        place = place[order]
-        self.seeds, self.seed_first, self.seed_count = np.unique(self.grams[place], return_index=True, return_counts=True)
-        self.seed_item = np.searchsorted(self.gram_first, place, "right") - 1
-        self.seed_at = place - self.gram_first[self.seed_item]
-        self.seed_rare = often[place] <= max(2, RARE_SHARE * documents)
+        self.vocabulary, code = np.unique(words.hashes, return_inverse=True)
+        self.code = code.astype(np.int32)
+        size = np.diff(words.first)
+        need = np.maximum(np.ceil(threshold * MATCH * size - 1e-9), LEAST).astype(np.int64)
+        self.item = np.flatnonzero(need <= MATCH * size)
+        self.first, self.size, self.need = words.first[self.item], size[self.item], need[self.item]
+        self.least = -(-self.need // MATCH)
+        self.gaps = MATCH * self.size - self.need
+        self.hits = np.minimum(HITS, self.least)
+
+    def choose(self, frequency: np.ndarray) -> None:
+        """frequency: how often the corpus has each word of the vocabulary."""
+        count = self.size - self.least + self.hits
+        place, item = ragged(self.first, self.size), np.repeat(np.arange(len(self.size)), self.size)
+        rank = ragged(np.zeros(len(self.size), np.int64), self.size)
+        place = place[np.lexsort((frequency[self.code[place]], item))]
+        chosen = rank < count[item]
+        place, item = place[chosen], item[chosen]
+        order = np.argsort(self.code[place], kind="stable")
+        place, self.seed_item = place[order], item[order]
+        self.seed_at = place - self.first[self.seed_item]
+        self.seed_count = np.bincount(self.code[place], minlength=len(self.vocabulary))
+        self.seed_first = np.cumsum(self.seed_count) - self.seed_count
+
+    def codes(self, words: Words) -> np.ndarray:
+        """The place of each word in the vocabulary, or -1."""
+        if not len(self.vocabulary):
+            return np.full(len(words.hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words.hashes, at, -1).astype(np.int32)
 
     def find(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         """Arrays document, item, score, first word, end word, seeds: the best window of each pair that aligns."""
         words = Words(data, offs)
-        grams, gram_first = ngrams(words, N)
-        empty = [np.zeros(0, np.int64)] * 6
-        if not len(self.seeds) or not len(grams):
-            return empty
-        at = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
-        hits = np.flatnonzero(self.seeds[at] == grams)
-        if not len(hits):
-            return empty
-        count = self.seed_count[at[hits]]
-        entry = ragged(self.seed_first[at[hits]], count)
-        hit = np.repeat(hits, count)
-        doc = np.searchsorted(gram_first, hit, "right") - 1
-        item, rare = self.seed_item[entry], self.seed_rare[entry]
-        diagonal = hit - gram_first[doc] - self.seed_at[entry]
-        order = np.lexsort((diagonal, item, doc))
-        doc, item, diagonal, rare = doc[order], item[order], diagonal[order], rare[order]
-        size = np.diff(self.first)
-        slack = 4 + size // 4
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[item[1:]])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(doc)) - 1
-        n = tail - head + 1
-        use = (n > 1) | rare[head]
-        head, tail, n = head[use], tail[use], n[use]
-        doc, item, low, high = doc[head], item[head], diagonal[head], diagonal[tail]
-        length = np.diff(words.first)[doc]
-        start = np.maximum(low - slack[item], 0)
-        stop = np.minimum(high + size[item] + slack[item], length)
-        score, end = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
-        by_size = np.lexsort((stop - start, size[item]))
-        for k in range(0, len(doc), _ALIGN):
-            part = by_size[k : k + _ALIGN]
-            score[part], end[part] = self._align(words, doc[part], item[part], start[part], stop[part])
-        score /= MATCH * size[item]
+        code, first = self.codes(words), words.first
+        count = np.zeros(len(code), np.int64)
+        known = np.flatnonzero(code >= 0)
+        count[known] = self.seed_count[code[known]]
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])[first]
+        found, at = [], 0
+        while at < len(first) - 1:
+            to = max(at + 1, int(np.searchsorted(before, before[at] + _AT_ONCE, "right")) - 1)
+            if before[to] > before[at]:
+                found.append(self._aligned(code, first, *self._windows(code, first, count, int(first[at]), int(first[to]))))
+            at = to
+        if not found:
+            return [np.zeros(0, np.int64)] * 6
+        doc, item, score, start, end, n = (np.concatenate(x) for x in zip(*found, strict=True))
         best = np.lexsort((start, -score, item, doc))
         doc, item, score, start, end, n = doc[best], item[best], score[best], start[best], end[best], n[best]
         one = np.ones(len(doc), bool)
         one[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-        return [x[one] for x in (doc, item, score, start, start + end, n)]
+        return [x[one] for x in (doc, item, score, start, end, n)]
 
-    def _align(self, words: Words, doc: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best local score and where it ends in the window, for many (item, window) pairs at once.
+    def _windows(self, code: np.ndarray, first: np.ndarray, count: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+        """Document, item, start, stop, seeds of the windows in words low to high that can hold an alignment.
 
-        A row of the matrix needs the cell to its left; with a linear gap that is a running maximum of value + gap * place.
+        Its gaps are `gaps` at most, so all of it lies that near to the diagonal of its first hit.
         """
-        rows, cols = np.diff(self.first)[item], stop - start
-        wide, high = int(cols.max(initial=0)), int(rows.max(initial=0))
-        a = np.zeros((len(doc), high), np.uint64)
-        b = np.ones((len(doc), wide), np.uint64)
-        inside_a, inside_b = np.arange(high) < rows[:, None], np.arange(wide) < cols[:, None]
-        a[inside_a] = self.words[ragged(self.first[item], rows)]
-        b[inside_b] = words.hashes[ragged(words.first[doc] + start, cols)]
-        ramp = -GAP * np.arange(wide + 1, dtype=np.int32)
-        last = np.zeros((len(doc), wide + 1), np.int32)
-        best, end = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int64)
-        for i in range(high):
-            row = np.zeros_like(last)
-            gain = np.where(a[:, i, None] == b, MATCH, MISMATCH)
-            row[:, 1:] = np.maximum(last[:, :-1] + gain, last[:, 1:] + GAP)
-            row = np.maximum(np.maximum.accumulate(np.maximum(row, 0) + ramp, axis=1) - ramp, 0)
-            row *= inside_a[:, i, None]
-            row[:, 1:] *= inside_b
-            at = row.argmax(1)
-            top = row[np.arange(len(doc)), at]
-            end[top > best] = at[top > best]
-            best = np.maximum(best, top)
-            last = row
-        return best.astype(float), end
+        places = np.flatnonzero(count[low:high]) + low
+        entry = ragged(self.seed_first[code[places]], count[places])
+        hit = np.repeat(places, count[places])
+        doc, item = np.searchsorted(first, hit, "right") - 1, self.seed_item[entry]
+        diagonal = hit - first[doc] - self.seed_at[entry]
+        order = np.lexsort((diagonal, item, doc))
+        doc, item, diagonal = doc[order], item[order], diagonal[order]
+        last = np.arange(len(doc)) + self.hits[item] - 1
+        some = np.flatnonzero(last < len(doc))
+        last = last[some]
+        some = some[(doc[last] == doc[some]) & (item[last] == item[some]) & (diagonal[last] - diagonal[some] <= self.gaps[item[some]])]
+        cell = diagonal[some] // self.size[item[some]]
+        new = np.ones(len(some), bool)
+        new[1:] = (doc[some[1:]] != doc[some[:-1]]) | (item[some[1:]] != item[some[:-1]]) | (cell[1:] != cell[:-1])
+        head = np.flatnonzero(new)
+        a, b = some[head], some[np.append(head, len(some))[1:] - 1]
+        doc, item = doc[a], item[a]
+        start = np.maximum(diagonal[a] - self.gaps[item], 0)
+        stop = np.minimum(diagonal[b] + self.gaps[item] + self.size[item], np.diff(first)[doc])
+        return [doc, item, start, stop, b - a + self.hits[item]]
+
+    def _aligned(self, code: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Those windows that align, as document, item of the block, score, first word, end word, seeds."""
+        out = [[np.zeros(0, np.int64)] * 6]
+        by_size = np.lexsort((stop - start, self.size[item]))
+        for k in range(0, len(doc), _ALIGN):
+            part = by_size[k : k + _ALIGN]
+            a, b = self._matrices(code, first[doc[part]] + start[part], first[doc[part]] + stop[part], item[part])
+            here = np.zeros(a.shape, bool)
+            for i in range(a.shape[1]):
+                here[:, i] = (b == a[:, i, None]).any(1)
+            able = here.sum(1) >= self.least[item[part]]
+            part = part[able]
+            points, end = _align(a[able], b[able])
+            good = points >= self.need[item[part]]
+            part, points, end = part[good], points[good], start[part[good]] + end[good]
+            if len(part):
+                back = _align(*self._matrices(code, first[doc[part]] + start[part], first[doc[part]] + end, item[part], -1))[1]
+                out.append([doc[part], self.item[item[part]], points / (MATCH * self.size[item[part]]), end - back, end, n[part]])
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    def _matrices(self, code: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of items and of words low to high, one in each row; filled up with -2 and -1, which match nothing; -1: backwards."""
+        out = []
+        for source, a, n, empty in ((self.code, self.first[item], self.size[item], -2), (code, low, high - low, -1)):
+            k = np.arange(int(n.max(initial=0)))
+            at = a[:, None] + (k if step > 0 else n[:, None] - 1 - k)
+            out.append(np.where(k < n[:, None], source[np.clip(at, 0, len(source) - 1)], np.int32(empty)))
+        return out[0], out[1]
+
+
+def _align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best local score and where it ends in b, for many (item, window) pairs at once.
+
+    A row of the matrix needs the cell to its left; with a linear gap that is a running maximum of value + gap * place.
+    """
+    ramp = -GAP * np.arange(b.shape[1] + 1, dtype=np.int32)
+    last = np.zeros((len(b), b.shape[1] + 1), np.int32)
+    best, end, rows = np.zeros(len(b), np.int32), np.zeros(len(b), np.int64), np.arange(len(b))
+    for i in range(a.shape[1]):
+        row = np.zeros_like(last)
+        gain = np.where(a[:, i, None] == b, np.int32(MATCH), np.int32(MISMATCH))
+        row[:, 1:] = np.maximum(last[:, :-1] + gain, last[:, 1:] + np.int32(GAP))
+        row = np.maximum(np.maximum.accumulate(np.maximum(row, 0) + ramp, axis=1) - ramp, 0)
+        at = row.argmax(1)
+        top = row[rows, at]
+        end[top > best] = at[top > best]
+        best = np.maximum(best, top)
+        last = row
+    return best.astype(np.int64), end
 
 
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value.vocabulary
-        total, rows = np.zeros(len(vocabulary) + 1, np.int64), 0
+        index = shared.value
+        total = np.zeros(len(index.vocabulary), np.int64)
         for batch in chunks(batches, "text"):
-            rows += batch.num_rows
-            if not len(vocabulary):
-                continue
-            grams, first = ngrams(Words(*text_buffer(batch.column("text"))), N)
-            at = np.minimum(np.searchsorted(vocabulary, grams), len(vocabulary) - 1)
-            hits = np.flatnonzero(vocabulary[at] == grams)
-            doc = np.searchsorted(first, hits, "right") - 1
-            pairs = np.unique(doc * len(vocabulary) + at[hits])
-            total += np.bincount(pairs % len(vocabulary), minlength=len(total))
-        total[-1] = rows
+            code = index.codes(Words(*text_buffer(batch.column("text"))))
+            total += np.bincount(code[code >= 0], minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["gram", "n"])
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["word", "n"])
 
     return run
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator:
+def indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, threshold: float = THRESHOLD) -> Iterator:
     """A broadcast index with seeds for every block of the benchmark."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     blocks = int((items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0) // block_bytes) + 1
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by("item_id")
-        index = Index(part["item_id"].to_pylist(), part["text"].to_pylist())
+        index = Index(part["item_id"].to_pylist(), part["text"].to_pylist(), threshold)
         shared = spark.sparkContext.broadcast(index)
-        counted = docs.select("text").mapInArrow(_frequencies(shared), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-        total = np.zeros(len(index.vocabulary) + 1, np.int64)
-        total[counted["gram"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        index.choose(total[:-1], int(total[-1]))
+        counted = docs.select("text").mapInArrow(_frequencies(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        total = np.zeros(len(index.vocabulary), np.int64)
+        total[counted["word"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+        index.choose(total)
         yield spark.sparkContext.broadcast(index)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and test item that align: doc_id, item_id, score, first_word, end_word, n_seeds."""
     result = None
-    for shared in indexes(docs, benchmark):
+    for shared in indexes(docs, benchmark, threshold=threshold):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids = np.array(shared.value.ids, object)
             for batch in chunks(batches, "text"):
                 doc, item, score, start, end, n = shared.value.find(*text_buffer(batch.column("text")))
-                keep = np.flatnonzero(score >= threshold)
-                own = batch.column("doc_id").take(pa.array(doc[keep], pa.int64()))
-                yield pa.record_batch([own, pa.array(ids[item[keep]].tolist(), pa.int64()), pa.array(score[keep], pa.float64()), *(pa.array(x[keep], pa.int64()) for x in (start, end, n))], ["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
+                own = batch.column("doc_id").take(pa.array(doc, pa.int64()))
+                yield pa.record_batch([own, pa.array(ids[item].tolist(), pa.int64()), pa.array(score, pa.float64()), *(pa.array(x, pa.int64()) for x in (start, end, n))], ["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long")
         result = found if result is None else result.unionByName(found)
@@ -191,12 +224,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents in which no test item aligns, with all their columns."""
-    for shared in indexes(docs, benchmark):
+    for shared in indexes(docs, benchmark, threshold=threshold):
 
         def judge(batch: pa.RecordBatch, shared=shared) -> np.ndarray:
-            doc, _, score, *_ = shared.value.find(*text_buffer(batch.column("text")))
+            doc, *_ = shared.value.find(*text_buffer(batch.column("text")))
             clean = np.ones(batch.num_rows, bool)
-            clean[doc[score >= threshold].astype(np.int64)] = False
+            clean[doc] = False
             return clean
 
         docs = keep_rows(docs, lambda judge=judge: judge)

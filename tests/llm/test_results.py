@@ -392,3 +392,39 @@ def test_benchmark_blocks(spark, docs, sf):
     assert sum(1 for _ in decontam.indexes(docs, bench, 4000)) > 1
     kept = decontam.keep_clean(docs, bench)
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in whole}
+
+
+def test_evenly_edited_copies_are_found(spark):
+    """Every 4th and 5th word replaced, in a lone copy and beside whole ones; every 3rd; a word put after each."""
+    rng = np.random.default_rng(3)
+    items = [[f"i{k}w{j}" for j in rng.permutation(40)] for k in range(10)]
+    docs, want = [], set()
+    for k, w in enumerate(items):
+        step = (4, 5, 4, 5, 3)[k % 5]
+        edited = [x if i % step != step - 1 else f"new{k}x{i}" for i, x in enumerate(w)] if k != 9 else [y for i, x in enumerate(w) for y in (x, f"new{i}")]
+        docs += [(k, " ".join(["before", *edited, "after"]))] + [(100 + 10 * k + j, " ".join(w)) for j in range(3 if k in (2, 3) else 0)]
+        want |= {(d, k) for d, _ in docs if d == k or (d - 100) // 10 == k}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(df, bench).collect()}
+    assert set(got) == want and decontam.keep_clean(df, bench).count() == 0
+    assert all(got[k, k].score == pytest.approx(smith_waterman(items[k], docs_words)) for k, docs_words in ((d, t.split()) for d, t in docs if d < 10))
+    assert (got[0, 0].first_word, got[0, 0].end_word) == (1, 40)
+
+
+def test_decontamination_of_common_words_against_brute_force():
+    """Texts over few words, where every word is common: the same pairs and scores as the full matrix."""
+    rng = np.random.default_rng(8)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 30, n)]
+    items, docs = [text(int(rng.integers(5, 25))) for _ in range(12)], []
+    for k in range(60):
+        copy = [y for x in items[k % 12] for y in ((x,), text(1), (x, *text(1)), ())[rng.choice(4, p=(0.5, 0.2, 0.2, 0.1))]]
+        docs.append([*text(int(rng.integers(0, 20))), *copy, *text(int(rng.integers(0, 20)))])
+    index = decontam.Index(list(range(12)), [" ".join(w) for w in items])
+    words = decontam.Words(*decontam.text_buffer(pa.array([" ".join(w) for w in docs])))
+    index.choose(np.bincount(index.codes(words)[index.codes(words) >= 0], minlength=len(index.vocabulary)))
+    doc, item, score, *_ = index.find(*decontam.text_buffer(pa.array([" ".join(w) for w in docs])))
+    got = {(d, i): s for d, i, s in zip(doc.tolist(), item.tolist(), score.tolist(), strict=True)}
+    full = {(d, i): smith_waterman(a, b) for d, b in enumerate(docs) if b for i, a in enumerate(items)}
+    want = {k: s for k, s in full.items() if s >= 0.5}
+    assert got == pytest.approx(want) and 20 < len(want) < len(full)
