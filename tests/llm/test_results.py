@@ -428,3 +428,14 @@ def test_decontamination_of_common_words_against_brute_force():
     full = {(d, i): smith_waterman(a, b) for d, b in enumerate(docs) if b for i, a in enumerate(items)}
     want = {k: s for k, s in full.items() if s >= 0.5}
     assert got == pytest.approx(want) and 20 < len(want) < len(full)
+
+
+def test_common_copies_of_short_items_are_found(spark):
+    """Items of 3, 4 and 5 words, each whole in 10 documents; two words in a row are no find."""
+    items = [[f"s{n}x{j}" for j in range(n)] for n in (3, 4, 5)]
+    docs = [(10 * k + d, " ".join([f"a{d}", *w, f"b{d}"])) for k, w in enumerate(items) for d in range(10)] + [(100 + k, " ".join(["a", *w[:2], "b"])) for k, w in enumerate(items)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(10 * k + d, k): 1.0 for k in range(3) for d in range(10)}
+    assert sorted(r.doc_id for r in decontam.keep_clean(df, bench).collect()) == [100, 101, 102]
