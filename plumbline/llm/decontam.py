@@ -1,12 +1,16 @@
 """Benchmark decontamination: rare words of a test item find passages, Smith-Waterman alignment of words scores them.
 
-The score is the local alignment's, over that of the whole item with itself; a pair is reported if it reaches `THRESHOLD`
+The score is the local alignment's, over that of the item with itself; a pair is reported if it reaches `THRESHOLD`
 and the alignment is worth more than two words (`LEAST`). Such an alignment matches at least `need / MATCH` words of the item,
 so of any `size - need / MATCH + k` words it matches k or more. The item's rarest words by count over the corpus, so many of
 them that k is `HITS`, are its seeds: a document without k hits on near diagonals cannot align. Nothing is left out by
 frequency, and words that are in no document only fill their places. Windows around hits are dropped if too few of the item's
 words are in them; the others are aligned, many at a time.
 
+An item of `LONG` words or more is searched for in parts of half as many words or a little more (side by side, and once more
+shifted by half a part); its score is the best of its parts. If the whole item reaches 0.5 then so does a part, and any `LONG / 2`
+successive words of an item are found, however long it is.
+
 The test items are searched for in blocks of at most `BLOCK_BYTES` of text: one block's index is what tasks get, however
 large the benchmark is, and each block goes against all documents.
 
@@ -31,6 +35,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: An alignment below this is never reported: two words in a row reach 2 * MATCH.
 LEAST = 2 * MATCH + 1
+#: Words from which on an item is searched for in parts.
+LONG = 100
 BLOCK_BYTES = 32 << 20
 #: Seed hits that a window must have (fewer for items that can be found by fewer words).
 HITS = 4
@@ -39,6 +45,19 @@ _AT_ONCE = 1 << 20
 _ALIGN = 512
 
 
+def parts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first word, words) of what is searched for: whole items, or the parts of long ones."""
+    size = np.diff(first)
+    item, start, length = [np.flatnonzero(size < LONG)], [first[:-1][size < LONG]], [size[size < LONG]]
+    for i in np.flatnonzero(size >= LONG).tolist():
+        n = int(size[i]) // (LONG // 2)
+        cuts = np.arange(2 * n + 1) * int(size[i]) // (2 * n)
+        item.append(np.full(2 * n - 1, i))
+        start.append(first[i] + cuts[:-2])
+        length.append(cuts[2:] - cuts[:-2])
+    return np.concatenate(item), np.concatenate(start), np.concatenate(length)
+
+
 class Index:
     """Words of a block of test items; seeds are added when the corpus has been counted."""
 
@@ -47,10 +66,10 @@ class Index:
         words = Words(*text_buffer(pa.array(texts, pa.large_string())))
         self.vocabulary, code = np.unique(words.hashes, return_inverse=True)
         self.code = code.astype(np.int32)
-        size = np.diff(words.first)
+        item, first, size = parts(words.first)
         need = np.maximum(np.ceil(threshold * MATCH * size - 1e-9), LEAST).astype(np.int64)
-        self.item = np.flatnonzero(need <= MATCH * size)
-        self.first, self.size, self.need = words.first[self.item], size[self.item], need[self.item]
+        able = need <= MATCH * size
+        self.item, self.first, self.size, self.need = item[able], first[able], size[able], need[able]
         self.least = -(-self.need // MATCH)
         self.gaps = MATCH * self.size - self.need
         self.hits = np.minimum(HITS, self.least)

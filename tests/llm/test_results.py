@@ -439,3 +439,22 @@ def test_common_copies_of_short_items_are_found(spark):
     got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, bench).collect()}
     assert got == {(10 * k + d, k): 1.0 for k in range(3) for d in range(10)}
     assert sorted(r.doc_id for r in decontam.keep_clean(df, bench).collect()) == [100, 101, 102]
+
+
+def test_excerpts_of_long_items_are_found(spark):
+    """50 and 150 successive words of an item of 400, and all of it with every 4th word replaced."""
+    w = [f"long{j}" for j in range(400)]
+    docs = [(1, ["a", *w[73:123], "b"]), (2, ["a", *w[120:270], "b"]), (3, [x if i % 4 else "new" for i, x in enumerate(w)]), (4, w), (5, w[30:50])]
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.contaminated(df, bench).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] == got[4] == 1.0 and [r.doc_id for r in decontam.keep_clean(df, bench).collect()] == [5]
+
+
+def test_parts_of_long_items():
+    for n in (0, 3, 99, 100, 149, 150, 1001):
+        item, start, size = decontam.parts(np.array([0, n]))
+        held = [range(s, s + k) for s, k in zip(start.tolist(), size.tolist(), strict=True)]
+        assert held[0].start == 0 and held[-1].stop == n and (n < 100 or all(50 <= k < 100 for k in size))
+        for a in range(n - 49):  # 50 successive words give some part half of its words
+            assert any(2 * (min(a + 50, r.stop) - max(a, r.start)) >= len(r) for r in held)
