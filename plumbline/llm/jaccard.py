@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from plumbline.llm.components import connected_components
 from plumbline.llm.shared import materialize
@@ -275,6 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
+    """Those columns with the key of the row's words and the key that stands for its class (null without words)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = materialize(rows.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, size long, sig binary"))
@@ -303,19 +305,40 @@ def _classes(docs: DataFrame) -> DataFrame:
     labels = classes.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("component").alias("class"))
     labels = labels.join(members.select("k1", "k2", "first_id"), ["k1", "k2"])
     least = labels.groupBy("class").agg(F.min("first_id").alias("class_first"))
-    linked = labels.join(least, "class").join(links, ["k1", "k2"], "left").select("k1", "k2", "class_first", "links")
+    linked = labels.join(least, "class").join(links, ["k1", "k2"], "left").select("k1", "k2", "class", "class_first", "links")
     known = nodes.select("k1", "k2", "first_id", "copies").join(linked, ["k1", "k2"], "left")
     # written out, so that the join below shuffles both sides and AQE can split the partition of a text with very many copies
-    known = materialize(known.select("k1", "k2", F.coalesce("class_first", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    known = materialize(known.select("k1", "k2", F.coalesce("class", F.struct("k1", "k2")).alias("class"), F.coalesce("class_first", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     found_words = with_words.select("doc_id", "k1", "k2").join(known, ["k1", "k2"], "left")
-    return found_words.select("doc_id", "class_id", "n_links").unionByName(sketches.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    none = sketches.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return found_words.select("doc_id", "class_id", "n_links", "k1", "k2", "class").unionByName(none, allowMissingColumns=True)
+
+
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """docs with the key of each row's word sequence, null for a text without words, in `_k1` and `_k2`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            _, first, keys = shingles(Words(*text_buffer(batch.column("text"))))
+            none = np.diff(first) == 0
+            yield pa.record_batch([*batch.columns, *(pa.array(k.view(np.int64), mask=none) for k in keys)], [*batch.schema.names, "_k1", "_k2"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_k1", LongType()), StructField("_k2", LongType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class (that with the least doc_id), with all columns."""
-    ids = materialize(_classes(docs).select("doc_id", "class_id"))
-    chosen = ids.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    repeated = chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    name = "_kept_id"
-    kept = docs.join(chosen.select(F.col("doc_id").alias(name)).distinct(), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """One row of each class, with all columns: that with the least doc_id, then with the least key of its words.
+
+    Texts without words are classes of their own; of those only exact repeats (doc_id and text) go.
+    """
+    rows = materialize(_classes(docs).select("doc_id", "class_id", "k1", "k2", "class"))
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    best = first.where("k1 is not null").groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("k"), F.min("doc_id").alias("doc_id"))
+    chosen = best.select("doc_id", "k.k1", "k.k2").unionByName(first.where("k1 is null").select("doc_id", "k1", "k2").distinct())
+    chosen = chosen.select(F.col("doc_id").alias("_kept_id"), F.col("k1").alias("_kept_k1"), F.col("k2").alias("_kept_k2"))
+    if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return docs.join(chosen.select("_kept_id"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    keyed = _with_keys(docs)
+    same = keyed["doc_id"].eqNullSafe(F.col("_kept_id")) & keyed["_k1"].eqNullSafe(F.col("_kept_k1")) & keyed["_k2"].eqNullSafe(F.col("_kept_k2"))
+    kept = keyed.join(chosen, same, "left_semi").withColumn("_text", F.when(F.col("_k1").isNull(), F.col("text")))
+    return kept.dropDuplicates(["doc_id", "_k1", "_k2", "_text"]).drop("_k1", "_k2", "_text")

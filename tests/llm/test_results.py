@@ -458,3 +458,13 @@ def test_parts_of_long_items():
         assert held[0].start == 0 and held[-1].stop == n and (n < 100 or all(50 <= k < 100 for k in size))
         for a in range(n - 49):  # 50 successive words give some part half of its words
             assert any(2 * (min(a + 50, r.stop) - max(a, r.start)) >= len(r) for r in held)
+
+
+def test_one_row_of_each_class_is_kept(spark):
+    """Null and repeated ids: copies and near copies in classes with another representative do not come back."""
+    one, two, three = ([f"{c}{i}" for i in range(60)] for c in "xyz")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    docs = [(None, " ".join(one)), (None, near(one)), (None, " ".join(one)), (None, near(two)), (3, " ".join(two)), (5, " ".join(three)), (5, " ".join([*one, "more"])), (5, near(three)), (None, ""), (None, ""), (6, None)]
+    kept = jaccard.keep_one(spark.createDataFrame([(*r, k) for k, r in enumerate(docs)], "doc_id long, text string, n long")).collect()
+    assert sorted(("" if not r.text else r.text[0], r.doc_id is None) for r in kept) == [("", False), ("", True), ("x", False), ("y", False), ("z", False)]
+    assert all((r.doc_id, r.text) == docs[r.n] for r in kept)
