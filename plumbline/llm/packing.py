@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import materialize
@@ -155,18 +155,23 @@ def _merge(capacity: int, level: int):
     return run
 
 
+def _open_bins() -> Column:
+    """How many bins are open, exactly: each has one piece at offset 0, as no piece is empty."""
+    return F.count_if(F.col("open") & (F.col("offset") == 0))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(capacity, end_id, tokenizer), _COLUMNS))
     result = rows.where(~F.col("open"))
     rest = rows.where("open")
-    tasks, bins = rest.agg(F.max("task"), F.approx_count_distinct("sequence_id")).first()
+    tasks, bins = rest.agg(F.max("task"), _open_bins()).first()
     tasks, level = (tasks or 0) + 1, 0
     while bins:
         tasks, level = -(-tasks // FAN_IN), level + 1
         grouped = rest.withColumn("task", F.floor(F.col("task") / FAN_IN)).repartition(tasks, "task").sortWithinPartitions("sequence_id", "offset")
         rest = materialize(grouped.mapInArrow(_merge(capacity, level), _COLUMNS))
-        left = rest.where("open").agg(F.approx_count_distinct("sequence_id")).first()[0]
+        left = rest.agg(_open_bins()).first()[0]
         last = tasks == 1 or left > (1 - LEAST_GAIN) * bins
         result = result.unionByName(rest if last else rest.where(~F.col("open")))
         if last:

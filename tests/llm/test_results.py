@@ -468,3 +468,13 @@ def test_one_row_of_each_class_is_kept(spark):
     kept = jaccard.keep_one(spark.createDataFrame([(*r, k) for k, r in enumerate(docs)], "doc_id long, text string, n long")).collect()
     assert sorted(("" if not r.text else r.text[0], r.doc_id is None) for r in kept) == [("", False), ("", True), ("x", False), ("y", False), ("z", False)]
     assert all((r.doc_id, r.text) == docs[r.n] for r in kept)
+
+
+def test_merge_rounds_count_open_bins_exactly(spark, monkeypatch):
+    """The tree goes on or stops by true counts: a sketch that is wrong has no say."""
+    monkeypatch.setattr(packing.F, "approx_count_distinct", lambda c: packing.F.lit(1000).cast("long"))
+    docs = spark.range(3000).selectExpr("id doc_id", "repeat('word ', cast(20 + id % 7 as int)) text")
+    few = packing.pack(docs.repartition(1)).select("sequence_id").distinct().count()
+    assert packing.pack(docs.repartition(40)).select("sequence_id").distinct().count() <= few + 1
+    rows = spark.range(20000).selectExpr("id div 2 sequence_id", "100 * (id % 2) offset", "id % 3 < 3 open")
+    assert rows.agg(packing._open_bins()).first()[0] == 10000
