@@ -5,19 +5,22 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Copies of a row that one task writes out.
+COPIES_AT_ONCE = 1 << 16
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh temporary one only where it is unset (tests)."""
+    """The shared folder: that of ``spark.checkpoint.dir``, or the one set on the context. Where neither is set, a temporary folder in
+    local mode (tests); on a cluster that is an error, since executors do not share such a folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -26,6 +29,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (.., copies) with `block`: a row of very many copies becomes several, each of at most `COPIES_AT_ONCE`, to be dealt apart."""
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE)))
+    left = F.col("copies") - F.col("block") * COPIES_AT_ONCE
+    return rows.withColumn("block", blocks).withColumn("copies", F.least(left, F.lit(COPIES_AT_ONCE).cast("long")))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

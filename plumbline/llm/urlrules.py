@@ -1,14 +1,17 @@
 """URL filters: given host and path rules first, then association rules that FP-growth mines from labelled URLs.
 
-Each URL is a set of tokens: host suffixes, path segments (digits as #) and names in the query. Labelled URLs with their
-verdict as one more item go to Spark's FP-growth; rules that end in a verdict and pass `MIN_SUPPORT` and `MIN_CONFIDENCE` are
-kept. They are applied by an inverted index from token to rule, to each different URL once: a rule fires when all of its
-tokens were found. Spark expressions only.
+Each URL is a set of tokens: host suffixes, path segments (digits as #) and names in the query. Tokens in `MIN_SUPPORT` of the
+labelled URLs or more are items; tokens that always occur together are one item, and of host suffixes in it only the longest counts.
+Labelled URLs with their verdict as one more item go to Spark's FP-growth. A URL gives one transaction without its host and one for
+each of its frequent suffixes, so the suffixes of a host, which all occur together, never multiply; the other items of a transaction
+with a suffix are marked, so every set is counted once for each URL. Rules that end in a verdict, have at most `MAX_TOKENS` items and
+pass `MIN_SUPPORT` and `MIN_CONFIDENCE` are kept. They are applied by an inverted index, to each different URL once: a rule is
+filed under its rarest item and fires when all of its items are in the URL. Spark expressions only.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and no tokens, and is allowed; of two rules of
-the same length the one given first wins; of mined rules that fire the most confident wins, then the one with more tokens,
-then block; where none fires the URL is allowed; without labelled URLs nothing is mined; repeated rows and null ids are kept;
-an empty table gives an empty result; other columns (html) are not read.
+the same length the one given first wins; of mined rules that fire the most confident wins, then block; where none fires the URL
+is allowed; without labelled URLs nothing is mined; repeated rows and null ids are kept; an empty table gives an empty result;
+other columns (html) are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import materialize
+from plumbline.llm.shared import in_blocks, materialize
 
 #: host, path, verdict (fixed values)
 RULES = [
@@ -27,7 +30,9 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 4
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
+#: Items of a mined rule at most; longer ones are no part of the model.
+MAX_TOKENS = 4
 
 
 def host_of(url: Column) -> Column:
@@ -60,24 +65,66 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return name, verdict
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled (tokens, verdict) -> rules (rule_id, tokens, verdict, confidence, support)."""
+def items_of(labelled: DataFrame, min_support: float, n: int) -> DataFrame:
+    """(token, item, n, has_host) of tokens in `min_support` of the n rows or more.
+
+    Tokens with the same count and the same sum of row hashes are in the same rows; such a class is one item, named by its longest
+    token. There are at most tokens per row / min_support of them.
+    """
+    seen = F.xxhash64("tokens").cast("decimal(20,0)").alias("h")
+    counted = labelled.select(F.explode("tokens").alias("token"), seen).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).where(F.col("n") >= min_support * n)
+    is_host = F.startswith("token", F.lit("h:"))
+    length = F.length("token")
+    hosts = F.max(F.when(is_host, F.struct(length, "token"))).alias("host")
+    classes = counted.groupBy("n", "h").agg(hosts, F.max(F.struct(length, "token")).alias("longest"))
+    named = counted.join(classes, ["n", "h"]).where(~is_host | (F.col("token") == F.col("host.token")))
+    return materialize(named.select("token", F.coalesce("host.token", "longest.token").alias("item"), "n", F.col("host").isNotNull().alias("has_host")))
+
+
+def _with_items(rows: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """(key, items) of rows (key, tokens) that have an item; items in alphabetical order."""
+    met = rows.select(key, F.explode("tokens").alias("token")).join(items.select("token", "item", "has_host"), "token")
+    return met.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("item", "has_host"))).alias("items"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """labelled (tokens, verdict) -> rules (rule_id, tokens, key, verdict, confidence, support) over items, and `items_of`."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    schema = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
-    rows = materialize(labelled.select(F.array_append(F.col("tokens"), F.concat(F.lit("="), F.col("verdict"))).alias("items")))
-    if not rows.limit(1).count():
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")) & (F.size("antecedent") <= MAX_TOKENS))
-    tokens = F.array_sort("antecedent")
-    rules = found.select(F.xxhash64(tokens, "consequent").alias("rule_id"), tokens.alias("tokens"), F.substring(F.col("consequent")[0], 2, 1 << 20).alias("verdict"), "confidence", "support")
-    return materialize(prune_redundant(materialize(rules)))
+    # equal rows are one entry until the transactions are made
+    rows = materialize(labelled.groupBy("tokens", "verdict").agg(F.count(F.lit(1)).alias("copies")).withColumn("row", F.xxhash64("tokens", "verdict")))
+    n = rows.agg(F.sum("copies")).first()[0]
+    if not n:
+        empty = spark.createDataFrame([], "rule_id long, tokens array<string>, key string, verdict string, confidence double, support double")
+        return empty, spark.createDataFrame([], "token string, item string, n long, has_host boolean")
+    items = items_of(labelled, min_support, n)
+    own = _with_items(rows.select("row", "tokens"), items, "row")
+    verdict = F.concat(F.lit("="), F.col("verdict"))
+    hosts = F.transform(F.filter("items", lambda x: x["has_host"]), lambda x: x["item"])
+    others = F.transform(F.filter("items", lambda x: ~x["has_host"]), lambda x: x["item"])
+    views = F.concat(F.array(others), F.transform(hosts, lambda h: F.array_append(F.transform(others, lambda x: F.concat(F.lit("+"), x)), h)))
+    each = rows.join(own, "row").select("verdict", "copies", F.explode(views).alias("items"))
+    dealt = in_blocks(each.select(F.array_append(F.col("items"), verdict).alias("items"), "copies")).repartition("items", "block")
+    transactions = materialize(dealt.withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("items"))
+    total = transactions.count()
+    if not total:
+        return mine(labelled.limit(0))[0], items
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support * n - 0.5, 0.5) / total, minConfidence=min_confidence).fit(transactions)
+    marked = F.exists("antecedent", lambda x: F.startswith(x, F.lit("+")))
+    bare = lambda x: F.when(F.startswith(x, F.lit("+")), F.substring(x, 2, 1 << 20)).otherwise(x)
+    with_host = F.exists("antecedent", lambda x: F.startswith(x, F.lit("h:")))
+    found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")) & (F.size("antecedent") <= MAX_TOKENS) & (~marked | with_host))
+    tokens = F.array_sort(F.transform("antecedent", bare))
+    rules = found.select(F.xxhash64(tokens, "consequent").alias("rule_id"), tokens.alias("tokens"), F.substring(F.col("consequent")[0], 2, 1 << 20).alias("verdict"), "confidence", (F.col("support") * total / n).alias("support"))
+    kept = prune_redundant(materialize(rules))
+    counts = items.select("item", "n").distinct()
+    keyed = kept.select("*", F.explode("tokens").alias("item")).join(counts, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("n", "item")).alias("key"))
+    return materialize(kept.join(keyed, "rule_id").select("rule_id", "tokens", "key", "verdict", "confidence", "support")), items
 
 
 def prune_redundant(rules: DataFrame) -> DataFrame:
-    """Drop a rule if one with fewer of its tokens gives the same verdict with at least its confidence.
+    """Drop a rule if one with fewer of its items gives the same verdict with at least its confidence.
 
     The shorter rule fires wherever the dropped one does, with the same verdict. The parts of a rule (at most 2^MAX_TOKENS) are looked up by
     equality, so rules are not compared pairwise.
@@ -91,12 +138,12 @@ def prune_redundant(rules: DataFrame) -> DataFrame:
     return rules.join(redundant, "rule_id", "left_anti")
 
 
-def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url, tokens; each url once) and mined rules -> (url, mined): the verdict of the best rule that fires."""
-    index = rules.select("rule_id", "verdict", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    met = urls.select("url", F.explode("tokens").alias("token")).join(index, "token")
-    fired = met.groupBy("url", "rule_id").agg(F.count(F.lit(1)).alias("got"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence")).where("got = n")
-    return fired.groupBy("url").agg(F.max_by("verdict", F.struct("confidence", "n", "verdict", "rule_id")).alias("mined"))
+def apply_rules(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """urls (url, tokens; each url once), mined rules and items -> (url, mined): the verdict of the best rule that fires."""
+    own = _with_items(urls, items, "url").select("url", F.transform("items", lambda x: x["item"]).alias("own"))
+    met = own.select("url", "own", F.explode("own").alias("key")).join(rules, "key")
+    fired = met.where(F.size(F.array_except("tokens", "own")) == 0)
+    return fired.groupBy("url").agg(F.max_by("verdict", F.struct("confidence", "verdict", "rule_id")).alias("mined"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
@@ -109,9 +156,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled:
         learn = rows.where(F.col("given").isNotNull()).select("url", "host", "path", F.col("given").alias("verdict"))
     else:
         learn = labelled.select(url.alias("url"), "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    mined = mine(learn.select(tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "verdict"))
+    mined, items = mine(learn.select(tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "verdict"))
     open_ = rows.where(F.col("given").isNull() & (F.col("host") != "")).select("url", "host", "path").distinct()
-    decided = apply_rules(open_.select("url", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), mined)
+    decided = apply_rules(open_.select("url", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), mined, items)
     joined = rows.join(decided, "url", "left")
     by = F.when(F.col("given").isNotNull(), "given").when(F.col("mined").isNotNull(), "mined").otherwise("default")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("given", "mined", F.lit("allow")).alias("verdict"), by.alias("by"))
