@@ -6,8 +6,7 @@ comes back in. There are a * b - n such places, so a walk needs at most that man
 make them few. Shard and slot follow from the permuted number by division, so shard sizes differ by one at most, slots
 have no gaps, and the place of any row can be computed from its number alone.
 
-Defined cases: a null text has 0 bytes and CRC 0; rows with equal id, size and text are interchangeable and are numbered
-together; null ids sort first; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text has 0 bytes and CRC 0; rows with equal id, size and text are interchangeable; null ids sort first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import materialize
+from plumbline.llm.shared import in_blocks, materialize
 
 SHARDS = 40
 #: Bytes that every document has beside its text.
@@ -53,16 +52,17 @@ def permute(x: Column, n: int, keys: tuple[int, ...] = KEYS) -> Column:
 def global_rows(keyed: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     """keyed with a dense `row` number from 0, and the number of rows.
 
-    Equal rows are counted first, so a row that is repeated any number of times is one entry until the end.
+    Equal rows are counted first, so a row that is repeated any number of times is one entry for each `COPIES_AT_ONCE` copies
+    until the end, and those entries are in different buckets.
     """
     counted = materialize(keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")))
     n = counted.agg(F.sum("copies")).first()[0] or 0
     buckets = n // BUCKET_ROWS + 1
-    placed = counted.withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
+    placed = in_blocks(counted).withColumn("bucket", F.pmod(F.xxhash64(*columns, "block"), F.lit(buckets)))
     sizes = placed.groupBy("bucket").agg(F.sum("copies").alias("rows"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     offsets = sizes.select("bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("bucket").orderBy(*columns, "block").rowsBetween(Window.unboundedPreceding, -1)
     started = placed.withColumn("start", F.coalesce(F.sum("copies").over(own), F.lit(0))).join(offsets, "bucket")
     numbered = started.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return numbered.select(*columns, (F.col("base") + F.col("start") + F.col("nth")).alias("row")), n
@@ -84,14 +84,20 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
-    """Write the documents to `path`, one folder for each shard, in slot order; returns the assignment."""
+    """Write the documents to `path`, one folder for each shard, in slot order; returns the assignment.
+
+    All columns of docs are written as they are; `shard` and `slot` are added, so a column of docs with such a name is an error.
+    Null and repeated ids: rows equal in id, size and CRC take their slots in any order.
+    """
+    if {"shard", "slot"} & {c.lower() for c in docs.columns}:
+        raise ValueError("columns shard and slot are added by write_shards")
     assigned = materialize(assign(docs, shards))
     key = ["doc_id", "size", "text_crc32"]
-    again = Window.partitionBy(*key).orderBy(F.lit(0))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary"))}).withColumn("_nth", F.row_number().over(again))
-    slots = assigned.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("row"))).withColumnsRenamed({c: f"_{c}" for c in key})
-    on = [rows[c].eqNullSafe(slots[f"_{c}"]) for c in key]
-    joined = rows.join(slots.drop("law", "grown_shard", "row"), [*on, rows["_nth"] == slots["_nth"]]).select(*[rows[c] for c in docs.columns], "shard", "slot")
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")).alias("_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    rows = docs.select(F.struct("*").alias("_row"), own).withColumn("_nth", nth)
+    slots = assigned.select(F.struct(*key).alias("_key"), "row", "shard", "slot").withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("row")))
+    joined = rows.join(slots, [rows["_key"].eqNullSafe(slots["_key"]), rows["_nth"] == slots["_nth"]]).select("_row.*", "shard", "slot")
     joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return assigned
