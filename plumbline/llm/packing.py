@@ -2,8 +2,9 @@
 
 Round 0 tokenises and packs inside each partition: pieces go by best fit, longest first, and bins that are nearly full
 are final. Bins with room left travel as items to fewer and fewer tasks (a tree of `FAN_IN`), where best fit merges whole
-bins, or their pieces where that needs fewer bins, until one task is left or a round saves next to nothing. Only piece
-metadata moves; texts never do.
+bins, or their pieces where that needs fewer bins. After each round, bins into which not even the shortest open piece of the corpus
+fits are final as well, so what is left for the root is bins that can still take something; the tree ends there, or when no
+bin is open. A task packs `BLOCK` pieces at a time. Only piece metadata moves; texts never do.
 
 Defined cases: a null or empty text is the end id alone (one piece of length 1); repeated rows and repeated or null ids
 are packed row by row; an empty table gives an empty result; other columns of the input are ignored.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import materialize
@@ -31,13 +32,11 @@ FAN_IN = 8
 BLOCK = 200_000
 #: A bin with this share of its capacity filled is final.
 NEARLY_FULL = 0.998
-#: A merge round that removes a smaller share of the open bins is the last.
-LEAST_GAIN = 0.001
 
-_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, task long"
+_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long, open boolean, task long"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    + [("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())]
+    + [("sequence_id", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())]
 )
 
 
@@ -92,11 +91,12 @@ def _tokenize(capacity: int, end_id: int, path: str | None):
             doc, piece, start, length, crc = zip(*held, strict=True)
             sizes = np.array(length, np.int64)
             bins, offsets, fill = best_fit(sizes, capacity)
-            full = np.array(fill) >= NEARLY_FULL * capacity
+            fill = np.array(fill, np.int64)
+            full = fill >= NEARLY_FULL * capacity
             ids = bins + _number(0, part, used)
             used += len(fill)
             held.clear()
-            return pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(ids), pa.array(offsets), pa.array(~full[bins]), pa.array(np.full(len(sizes), part, np.int64))], schema=_ARROW)
+            return pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(ids), pa.array(offsets), pa.array(fill[bins]), pa.array(~full[bins]), pa.array(np.full(len(sizes), part, np.int64))], schema=_ARROW)
 
         for batch in chunks(batches, "text"):
             data, offs = text_buffer(batch.column("text"))
@@ -134,8 +134,9 @@ def _merge(capacity: int, level: int):
             loose = best_fit(length, capacity)
             if len(loose[2]) < len(fill):
                 bins, offsets, fill = loose
-            full = np.array(fill) >= NEARLY_FULL * capacity
-            new = {"sequence_id": pa.array(bins + _number(level, part, used)), "offset": pa.array(offsets), "open": pa.array(~full[bins])}
+            fill = np.array(fill, np.int64)
+            full = fill >= NEARLY_FULL * capacity
+            new = {"sequence_id": pa.array(bins + _number(level, part, used)), "offset": pa.array(offsets), "fill": pa.array(fill[bins]), "open": pa.array(~full[bins])}
             used += len(fill)
             return pa.record_batch([new[n] if n in new else table[n].combine_chunks() for n in _ARROW.names], schema=_ARROW)
 
@@ -155,26 +156,26 @@ def _merge(capacity: int, level: int):
     return run
 
 
-def _open_bins() -> Column:
-    """How many bins are open, exactly: each has one piece at offset 0, as no piece is empty."""
-    return F.count_if(F.col("open") & (F.col("offset") == 0))
+def _settled(rows: DataFrame, capacity: int) -> tuple[DataFrame, bool]:
+    """rows of which only those bins are open that the shortest open piece still fits into, and whether there are any."""
+    shortest = rows.where("open").agg(F.min("length")).first()[0]
+    if shortest is None:
+        return rows, False
+    return rows.withColumn("open", F.col("open") & (F.col("fill") + shortest <= capacity)), True
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(capacity, end_id, tokenizer), _COLUMNS))
-    result = rows.where(~F.col("open"))
-    rest = rows.where("open")
-    tasks, bins = rest.agg(F.max("task"), _open_bins()).first()
-    tasks, level = (tasks or 0) + 1, 0
-    while bins:
-        tasks, level = -(-tasks // FAN_IN), level + 1
-        grouped = rest.withColumn("task", F.floor(F.col("task") / FAN_IN)).repartition(tasks, "task").sortWithinPartitions("sequence_id", "offset")
-        rest = materialize(grouped.mapInArrow(_merge(capacity, level), _COLUMNS))
-        left = rest.agg(_open_bins()).first()[0]
-        last = tasks == 1 or left > (1 - LEAST_GAIN) * bins
-        result = result.unionByName(rest if last else rest.where(~F.col("open")))
+    tasks, level = (rows.agg(F.max("task")).first()[0] or 0) + 1, 0
+    result = None
+    while True:
+        rows, more = _settled(rows, capacity)
+        last = not more or (level and tasks == 1)
+        done = rows if last else rows.where(~F.col("open"))
+        result = done if result is None else result.unionByName(done)
         if last:
-            break
-        rest, bins = rest.where("open"), left
-    return result.drop("open", "task")
+            return result.drop("open", "task", "fill")
+        tasks, level = -(-tasks // FAN_IN), level + 1
+        grouped = rows.where("open").withColumn("task", F.floor(F.col("task") / FAN_IN)).repartition(tasks, "task").sortWithinPartitions("sequence_id", "offset")
+        rows = materialize(grouped.mapInArrow(_merge(capacity, level), _COLUMNS))
