@@ -1,9 +1,10 @@
 """Licence scans by a positional rare-token index (Spark expressions only).
 
 The text is tokenised once. A document goes on if, for some template, enough of its words occur at all. For those documents
-the corpus-wide document frequency of the licence words tells which words of a template are the rarest (highest IDF); the
-postings of these anchors give candidate places, the other words are looked up at their relative positions, and a template
-counts where enough of them agree and, for long templates, its mandatory key phrase stands in the document too.
+the corpus-wide document frequency of the licence words tells which words of a template are the rarest (highest IDF). The
+positions of all these anchors are collected once for each document; they give candidate places, the other words are looked up
+at their relative positions, and a template counts where enough of them agree and its mandatory key phrase stands at its own
+place in the aligned template.
 
 Defined cases: null texts are empty; no words: zero counts, null places, empty labels, score 0; equal frequencies: the word
 that comes first in the template is the anchor; repeated rows and null ids are kept; an empty table gives an empty result;
@@ -102,18 +103,25 @@ def anchors(indexed: DataFrame, found: list[Template]) -> list[list[int]]:
     return [sorted(range(len(t.words)), key=lambda i, t=t: (frequency.get(t.words[i], 0), i))[: _may_miss(t) + 1] for t in found]
 
 
-def _places(words: Column, t: Template, places: list[int]) -> Column:
-    """Starts at which the phrase stands (exact templates) with their agreement: array of (start, agree)."""
+def _postings(words: Column, anchor_words: list[str]) -> Column:
+    """The document's positional index of the anchors: array of (w, i), by position."""
+    listed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    return F.filter(listed, lambda x: x["w"].isin(anchor_words))
+
+
+def _places(words: Column, postings: Column, t: Template, places: list[int]) -> Column:
+    """Starts at which the template aligns, key phrase included, with their agreement: array of (start, agree)."""
     n = len(t.words)
+    key_at = next(o for o in range(n) if t.words[o : o + len(t.key)] == t.key)
 
     def starts(k: int) -> Column:
-        return F.transform(words, lambda w, i: F.when(w == t.words[k], i - k))
+        return F.transform(F.filter(postings, lambda x: x["w"] == t.words[k]), lambda x: x["i"] - k)
 
-    postings = [starts(k) for k in places]
-    posting = F.filter(F.array_distinct(F.concat(*postings)), lambda s: s.isNotNull() & (s > -n))
+    posting = F.filter(F.array_distinct(F.concat(*[starts(k) for k in places])), lambda s: s > -n)
     agree = lambda s: F.aggregate(F.transform(_strings(t.words), lambda w, j: F.when(F.get(words, s + j) == w, F.lit(1)).otherwise(F.lit(0))), F.lit(0), lambda a, x: a + x)
     scored = F.transform(posting, lambda s: F.struct(s.cast("long").alias("start"), (agree(s) / n).alias("agree")))
-    return F.filter(scored, lambda x: (x["agree"] >= t.agree - 1e-9) & (x["start"] >= 0 if t.base else F.lit(True)))
+    keyed = lambda x: (x["start"] + key_at >= 0) & (F.slice(words, F.greatest(x["start"] + key_at + 1, F.lit(1)).cast("int"), F.lit(len(t.key))) == _strings(t.key))
+    return F.filter(scored, lambda x: (x["agree"] >= t.agree - 1e-9) & (x["start"] >= 0 if t.base else keyed(x)))
 
 
 def scan(docs: DataFrame, found: list[Template] | None = None) -> DataFrame:
@@ -122,16 +130,14 @@ def scan(docs: DataFrame, found: list[Template] | None = None) -> DataFrame:
     indexed = materialize(index(docs, found))
     rare = anchors(indexed, found)
     empty = F.array().cast("array<struct<start:long,agree:double>>")
-    rows = indexed
+    anchor_words = sorted({t.words[i] for t, own in zip(found, rare, strict=True) for i in own})
+    rows = indexed.withColumn("postings", _postings(F.col("words"), anchor_words))
     for k, (t, own) in enumerate(zip(found, rare, strict=True)):
-        places = _places(F.col("words"), t, own)
+        places = _places(F.col("words"), F.col("postings"), t, own)
         rows = rows.withColumn(f"p{k}", F.when(F.col("words").isNotNull() & _possible(F.col("present"), t), places).otherwise(empty))
-    text = F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" "))
     hit, base_hit = [], []
     for k, t in enumerate(found):
         ok = F.size(f"p{k}") > 0
-        if not t.base:
-            ok = ok & F.contains(text, F.lit(" " + " ".join(t.key) + " "))
         hit.append((t, ok, F.array_max(F.transform(f"p{k}", lambda x: x["agree"]))))
         if t.base:
             base_hit.append((t, k))
