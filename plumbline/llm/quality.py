@@ -23,8 +23,8 @@ from plumbline.llm.shared import keep_rows
 from plumbline.llm.textvec import Words, chunks, mix, ngrams, range_hashes, segment_sum, text_buffer
 
 LABELLERS = ("plain words", "marks", "upper case", "symbols", "word length", "distinct words", "distinct 5-grams", "distinct lines")
-#: Documents of which the scorer is fitted at most, about; drawn by hash over all documents.
-SAMPLE = 4000
+#: Documents of which the scorer is fitted at most, about, and bytes of their features; drawn by hash over all documents.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 FEATURE_BITS = 16
 #: Value of a hashed statistic in the linear scorer, where the 4-grams of a document share the value 1.
 STATISTIC = 0.25
@@ -184,8 +184,10 @@ class Scorer:
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
-        code, n = np.unique(votes(statistics(*text_buffer(batch.column("text")))) @ _PLACE, return_counts=True)
-        yield pa.record_batch([pa.array(code), pa.array(n)], ["pattern", "n"])
+        data, offs = text_buffer(batch.column("text"))
+        code, back, n = np.unique(votes(statistics(data, offs)) @ _PLACE, return_inverse=True, return_counts=True)
+        most = np.bincount(back, np.minimum(np.diff(offs), 1 << FEATURE_BITS), len(code)).astype(np.int64)
+        yield pa.record_batch([pa.array(code), pa.array(n), pa.array(most)], ["pattern", "n", "most"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,11 +205,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
-    counted = docs.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
+    counted = docs.select("text").mapInArrow(_patterns, "pattern long, n long, most long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("most").alias("most")).toPandas()
     code, n = counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(np.float64)
     bad = fit_votes(code[:, None] // _PLACE % 3, n)
     order = np.argsort(code)
-    share = int(min(1.0, sample / max(n.sum(), 1)) * (1 << 30))
+    size = 6 * max(int(counted["most"].sum()), 1)  # a feature takes 6 bytes; a text has no more features than bytes, nor than there are
+    share = int(min(1.0, sample / max(n.sum(), 1), SAMPLE_BYTES / size) * (1 << 30))
     draw = F.pmod(F.xxhash64(F.col("text"), F.col("doc_id").cast("string")), F.lit(1 << 30)) < share
     drawn = docs.where(draw & F.col("text").isNotNull()).select("text").mapInArrow(_sampled, "pattern long, index binary, value binary").toArrow()
     rows = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for i, v in zip(drawn["index"].to_pylist(), drawn["value"].to_pylist(), strict=True)]
