@@ -158,7 +158,15 @@ def count_tokens(docs: DataFrame, edits: Column | None = None, tokenizer: str |
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with a column `edits` from a table (doc_id, seq, pos, n_delete, insert), in the order of seq."""
+    """docs with a column `edits` from a table (doc_id, seq, pos, n_delete, insert), in the order of seq (equal: of the other fields).
+
+    All columns of docs stay (one named `edits` is an error). Null ids match null ids, every row of a repeated id gets the
+    edits of its id, and a document without edits gets null. The edits of one document are one value, as `count_tokens` needs them.
+    """
+    if "edits" in {c.lower() for c in docs.columns}:
+        raise ValueError("the column edits is added by attach_edits")
     listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "pos", "n_delete", "insert"))).alias("edits"))
-    only = listed.withColumn("edits", F.transform("edits", lambda e: F.struct(e["pos"].alias("pos"), e["n_delete"].alias("n_delete"), e["insert"].alias("insert"))))
-    return docs.select("doc_id", "text").join(only, "doc_id", "left")
+    only = F.transform("edits", lambda e: F.struct(e["pos"].alias("pos"), e["n_delete"].alias("n_delete"), e["insert"].alias("insert")))
+    one = listed.select(F.struct("doc_id").alias("_edited"), only.alias("edits"))
+    rows = docs.withColumn("_own", F.struct("doc_id"))
+    return rows.join(one, F.col("_own").eqNullSafe(F.col("_edited")), "left").drop("_own", "_edited")
