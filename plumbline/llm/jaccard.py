@@ -33,10 +33,12 @@ from plumbline.llm.textvec import Words, chunks, mix, ngrams, text_buffer
 N, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP = 96, 4, 16
 TOLERANCE = 1e-6
-#: Nodes of a bucket or group that a task compares with another such block at once.
+#: Nodes of a group that a task verifies with another such block at once.
 BLOCK = 2048
-#: Bits of the filter that tells a worker which texts a group needs: 8 MB, however many there are.
-FILTER_BITS = 1 << 26
+#: Nodes of a bucket that a task compares with another such block; a bucket has at most `BUCKET_BLOCKS` blocks, which grow beyond that.
+BUCKET_BLOCK, BUCKET_BLOCKS = 512, 16
+#: Bits of the filter that tells a worker which texts a group needs, as a power of two of 16 bits a node: 8 to 64 MB. Beyond that it only passes more.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 26, 1 << 29
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -196,7 +198,7 @@ def _needed(shared):
         for batch in chunks(batches, "text"):
             words = Words(*text_buffer(batch.column("text")))
             grams, first, keys = shingles(words)
-            at = (keys[0] % np.uint64(FILTER_BITS)).astype(np.int64)
+            at = (keys[0] % np.uint64(8 * len(bits))).astype(np.int64)
             some = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             sets = [grams[first[i] : first[i + 1]].tobytes() for i in some.tolist()]
             yield pa.record_batch([pa.array(keys[0][some].view(np.int64)), pa.array(keys[1][some].view(np.int64)), pa.array(sets, pa.binary())], ["k1", "k2", "grams"])
@@ -253,18 +255,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with the keys of all nodes (built by Spark; its size does not grow)."""
+    """A bitmap with the keys of all nodes (built by Spark; its size is bounded)."""
+    size = min(max(FILTER_BITS, 1 << (16 * nodes.count()).bit_length()), MOST_FILTER_BITS)
     # the unsigned 64-bit remainder by a power of two is the signed one, taken as non-negative
-    place = F.pmod(F.col("k1"), F.lit(FILTER_BITS)).alias("p")
+    place = F.pmod(F.col("k1"), F.lit(size)).alias("p")
     words = nodes.select(place).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(size // 64, np.uint64)
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     return bits.view(np.uint8)
 
 
-def _blocks(df: DataFrame, key: list[str], nodes_per_block: int) -> DataFrame:
-    """Split the groups of `key` (column `n`: nodes) into blocks, and give every row to each pair of blocks it is in."""
+def _blocks(df: DataFrame, key: list[str], nodes_per_block: int, most: int | None = None) -> DataFrame:
+    """Split the groups of `key` (column `n`: nodes) into blocks (`most` of them: they grow), and give every row to each pair of blocks it is in."""
     blocks = F.ceil(F.col("n") / nodes_per_block).cast("int")
+    blocks = F.least(blocks, F.lit(most)) if most else blocks
     own = df.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return paired.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other", "blocks")
@@ -287,7 +291,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     placed = nodes.select("k1", "k2", bands)
     shared_buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     meeting = placed.join(shared_buckets, "bucket").join(nodes.select("k1", "k2", "sig"), ["k1", "k2"])
-    blocked = _blocks(meeting, ["bucket"], 4 * BLOCK).withColumn("pair", F.col("i") * (1 << 20) + F.col("j")).select("bucket", "pair", "k1", "k2", "sig")
+    blocked = _blocks(meeting, ["bucket"], BUCKET_BLOCK, BUCKET_BLOCKS).withColumn("pair", F.col("i") * (1 << 20) + F.col("j")).select("bucket", "pair", "k1", "k2", "sig")
     dealt = blocked.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "k1", "k2")
     node = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
     maybe = dealt.mapInArrow(_prune, "a1 long, a2 long, b1 long, b2 long").select(node("a1", "a2").alias("u"), node("b1", "b2").alias("v"))
