@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare words of a test item find passages, Smith-Waterman alignment of words scores them.
 
 The score is the local alignment's, over that of the item with itself; a pair is reported if it reaches `THRESHOLD`
-and the alignment is worth more than two words (`LEAST`). Such an alignment matches at least `need / MATCH` words of the item,
+and the alignment is worth more than two words (`LEAST`), or all of an item of one or two words. The seeds are n-grams of n = 1: longer
+ones miss copies in which every second or third word was changed, which still reach 0.5. Such an alignment matches at least `need / MATCH` words of the item,
 so of any `size - need / MATCH + k` words it matches k or more. The item's rarest words by count over the corpus, so many of
 them that k is `HITS`, are its seeds: a document without k hits on near diagonals cannot align. Nothing is left out by
 frequency, and words that are in no document only fill their places. Windows around hits are dropped if too few of the item's
@@ -14,8 +15,8 @@ successive words of an item are found, however long it is.
 The test items are searched for in blocks of at most `BLOCK_BYTES` of text: one block's index is what tasks get, however
 large the benchmark is, and each block goes against all documents.
 
-Defined cases: null texts are empty; an item of fewer than three words is never found; a document without
-words is clean; ties of score go to the first window; repeated rows and null ids are kept; with an empty benchmark nothing is
+Defined cases: null texts are empty; an item of fewer than `SHORT` words is reported where it stands word for word, but does not
+make `keep_clean` drop a document; an item or a document without words matches nothing; ties of score go to the first window; repeated rows and null ids are kept; with an empty benchmark nothing is
 contaminated; other columns are ignored.
 """
 
@@ -35,6 +36,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: An alignment below this is never reported: two words in a row reach 2 * MATCH.
 LEAST = 2 * MATCH + 1
+#: Items of fewer words say too little to drop a document.
+SHORT = 3
 #: Words from which on an item is searched for in parts.
 LONG = 100
 BLOCK_BYTES = 32 << 20
@@ -61,14 +64,14 @@ def parts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Index:
     """Words of a block of test items; seeds are added when the corpus has been counted."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], threshold: float = THRESHOLD):
+    def __init__(self, ids: list[int | None], texts: list[str | None], threshold: float = THRESHOLD, shortest: int = 1):
         self.ids = ids
         words = Words(*text_buffer(pa.array(texts, pa.large_string())))
         self.vocabulary, code = np.unique(words.hashes, return_inverse=True)
         self.code = code.astype(np.int32)
         item, first, size = parts(words.first)
-        need = np.maximum(np.ceil(threshold * MATCH * size - 1e-9), LEAST).astype(np.int64)
-        able = need <= MATCH * size
+        need = np.maximum(np.ceil(threshold * MATCH * size - 1e-9), np.minimum(LEAST, MATCH * size)).astype(np.int64)
+        able = size >= max(shortest, 1)
         self.item, self.first, self.size, self.need = item[able], first[able], size[able], need[able]
         self.least = -(-self.need // MATCH)
         self.gaps = MATCH * self.size - self.need
@@ -208,14 +211,14 @@ def _frequencies(shared):
     return run
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, threshold: float = THRESHOLD) -> Iterator:
+def indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, threshold: float = THRESHOLD, shortest: int = 1) -> Iterator:
     """A broadcast index with seeds for every block of the benchmark."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     blocks = int((items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0) // block_bytes) + 1
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by("item_id")
-        index = Index(part["item_id"].to_pylist(), part["text"].to_pylist(), threshold)
+        index = Index(part["item_id"].to_pylist(), part["text"].to_pylist(), threshold, shortest)
         shared = spark.sparkContext.broadcast(index)
         counted = docs.select("text").mapInArrow(_frequencies(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         total = np.zeros(len(index.vocabulary), np.int64)
@@ -242,8 +245,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents in which no test item aligns, with all their columns."""
-    for shared in indexes(docs, benchmark, threshold=threshold):
+    """The documents in which no test item of `SHORT` words or more aligns, with all their columns; each row is judged by its own text."""
+    for shared in indexes(docs, benchmark, threshold=threshold, shortest=SHORT):
 
         def judge(batch: pa.RecordBatch, shared=shared) -> np.ndarray:
             doc, *_ = shared.value.find(*text_buffer(batch.column("text")))

@@ -110,7 +110,8 @@ def test_url_values(spark):
 
 def test_token_edits_from_a_table(spark, edge):
     edits = spark.createDataFrame([(1, 1, 0, 3, "A"), (1, 2, 5, 0, " new words "), (3, 1, 0, 0, "three new words"), (4, 1, 99, 5, "x")], "doc_id long, seq int, pos long, n_delete long, insert string")
-    docs = tokencount.attach_edits(edge, edits)
+    docs = tokencount.attach_edits(edge, edits.unionByName(edits.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))))
+    assert docs.columns == [*edge.columns, "edits"] and docs.count() == edge.count() and docs.where("doc_id is null").first().edits[0].insert == "three new words"
     got = {r.doc_id: r for r in tokencount.count_tokens(docs, F.col("edits")).collect()}
     assert (got[3].n_tokens, got[3].n_tokens_edited) == (0, 3) and got[4].n_tokens_edited == 1 and got[2].n_tokens == got[2].n_tokens_edited
 

@@ -1,6 +1,7 @@
 """Results against brute force, exact round trips and held-out labels on the small tables."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -81,15 +82,80 @@ def test_license_templates_allow_edits(spark):
     text = "Redistribution and use in source and binary forms, with OR without changes are permitted"
     got = license.scan(spark.createDataFrame([(1, text), (2, "source and binary forms only")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert got[0].labels == "bsd" and 0.8 <= got[0].score < 1 and got[1].labels == ""
+    apart = "source and binary forms. Redistribution and use in source or binary form, with or without modification are permitted"
+    (one,) = license.scan(spark.createDataFrame([(1, apart)], "doc_id long, text string")).collect()
+    assert (one.labels, one.score) == ("", 0.0)  # enough words agree, but the key phrase stands elsewhere
 
 
 def test_mined_rules_have_their_confidence(spark):
     rows = [(["a", "b"], "block")] * 9 + [(["a", "c"], "allow")] * 6 + [(["b"], "block")] * 5
-    rules = {(tuple(r.tokens), r.verdict): r.confidence for r in urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()}
-    assert rules == {(("b",), "block"): 1.0, (("c",), "allow"): 1.0}
+    mined, items = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert {(tuple(r.tokens), r.verdict): r.confidence for r in mined.collect()} == {(("b",), "block"): 1.0, (("c",), "allow"): 1.0}
     urls = spark.createDataFrame([("u1", ["a", "b"]), ("u2", ["c", "x"]), ("u3", ["a"])], "url string, tokens array<string>")
-    mined = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
-    assert {r.url: r.mined for r in urlrules.apply_rules(urls, mined).collect()} == {"u1": "block", "u2": "allow"}
+    assert {r.url: r.mined for r in urlrules.apply_rules(urls, mined, items).collect()} == {"u1": "block", "u2": "allow"}
+
+
+def brute_rules(rows, min_support=0.01, min_confidence=0.8):
+    """Every set of at most MAX_TOKENS items (at most one a host suffix) with its verdict's support and confidence, no part of it as good."""
+    n = len(rows)
+    where = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, set()).add(i)
+    classes = {}
+    for t, own in where.items():
+        if len(own) >= min_support * n:
+            classes.setdefault(frozenset(own), []).append(t)
+    items = {}
+    for own, tokens in classes.items():
+        host = max((t for t in tokens if t.startswith("h:")), key=len, default=None)
+        items[host or max(tokens, key=lambda t: (len(t), t))] = own
+    out = {}
+    for k in range(1, urlrules.MAX_TOKENS + 1):
+        for names in itertools.combinations(sorted(items), k):
+            if sum(x.startswith("h:") for x in names) > 1:
+                continue
+            both = frozenset.intersection(*(items[x] for x in names))
+            for verdict in ("allow", "block"):
+                got = sum(rows[i][1] == verdict for i in both)
+                if both and got >= min_support * n and got >= min_confidence * len(both):
+                    out[names, verdict] = got / len(both)
+    return {(names, v): c for (names, v), c in out.items() if not any(out.get((part, v), 0) >= c for k in range(1, len(names)) for part in itertools.combinations(names, k))}
+
+
+def test_mined_rules_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(400):
+        host = rng.choice(["a.x.com", "b.x.com", "y.com", "z.org"], p=(0.4, 0.2, 0.2, 0.2))
+        labels = str(host).split(".")
+        suffixes = ["h:" + ".".join(labels[k:]) for k in range(len(labels))]
+        rest = [f"p{i}:{rng.choice(['u', 'v'])}" for i in range(3)] + ([] if rng.random() < 0.5 else ["q:id", "q:page"])
+        rows.append(([*suffixes, *rest], "block" if ("p0:u" in rest and host != "z.org") ^ (rng.random() < 0.1) else "allow"))
+    mined, _ = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    got = {(tuple(r.tokens), r.verdict): r.confidence for r in mined.collect()}
+    want = brute_rules(rows)
+    assert got == pytest.approx(want) and len(want) > 3
+
+
+def test_long_hosts_and_paths_do_not_multiply(spark):
+    """A host of 24 labels, each a frequent suffix of its own, and a path of 20 fixed segments."""
+    labels = [f"l{k}" for k in range(24)]
+    rows = []
+    for k in range(480):
+        own = labels[: 24 - k % 24]
+        suffixes = ["h:" + ".".join(reversed(own[:j])) for j in range(1, len(own) + 1)]
+        rows.append(([*suffixes, *(f"p{i}:s" for i in range(20))], "block" if len(own) > 12 else "allow"))
+    mined, items = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    url = spark.createDataFrame([("u", ["h:l0", "h:l1.l0", "h:" + ".".join(reversed(labels))])], "url string, tokens array<string>")
+    assert mined.count() > 5 and urlrules.apply_rules(url, mined, items).first().mined == "block"
+
+
+def test_a_confidence_tie_is_blocked(spark):
+    rows = [(["a", "b", "c"], "block"), (["d", "e"], "allow")] * 20 + [(["a"], "block"), (["d"], "allow")] * 5
+    mined, items = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    urls = spark.createDataFrame([("u", ["a", "d"]), ("v", ["d", "b"]), ("w", ["e"])], "url string, tokens array<string>")
+    assert {r.url: r.mined for r in urlrules.apply_rules(urls, mined, items).collect()} == {"u": "block", "v": "block", "w": "allow"}
 
 
 def test_language_held_out(spark, sf):
@@ -138,7 +204,7 @@ def test_packing_against_the_library(spark, sf, rows):
             assert g.offset == at
             at += g.length
         assert at <= 4096
-    assert len(bins) <= -(-total // 4096) * 1.03 + 1
+    assert len(bins) <= -(-total // 4096) * 1.002 + 1
 
 
 @settings(max_examples=40, deadline=None)
@@ -336,6 +402,8 @@ def test_jaccard_against_brute_force(spark, sf):
 
 def test_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 4)
+    monkeypatch.setattr(jaccard, "BUCKET_BLOCKS", 3)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(80)]
     docs = []
@@ -364,16 +432,29 @@ def smith_waterman(a, b):
 
 
 def test_decontamination_against_brute_force(spark, sf, rows):
+    """All items against all documents: the same pairs and scores as full alignment. A pair that shares fewer words than the score
+    needs cannot reach it, so those are not aligned here."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     got = {(r.doc_id, r.item_id): r.score for r in QUERIES["op9_decontamination"](spark, sf).collect()}
-    words = {r.doc_id: WORD.findall(lower(r.text)) for r in rows}
-    for item in items[:8]:
+    words, want = {r.doc_id: WORD.findall(lower(r.text)) for r in rows}, {}
+    bags = {d: Counter(w) for d, w in words.items()}
+    for item in items:
         w = WORD.findall(lower(item.text))
-        for r in rows:
-            if len(set(w) & set(words[r.doc_id])) < 0.4 * len(set(w)) or len(words[r.doc_id]) > 800:
-                continue
-            s = smith_waterman(w, words[r.doc_id])
-            assert ((r.doc_id, item.item_id) in got) == (s >= 0.5) and abs(got.get((r.doc_id, item.item_id), s) - s) < 0.06
+        bag = Counter(w)
+        for d in words:
+            if 2 * sum(min(n, bags[d][x]) for x, n in bag.items()) >= len(w) and (s := smith_waterman(w, words[d])) >= 0.5:
+                want[d, item.item_id] = s
+    assert got == pytest.approx(want) and len(want) >= 3
+
+
+def test_the_seeds_miss_no_edited_copy(spark):
+    """One run of three words is all that is left whole; and items of one and two words."""
+    docs = [(1, "prefix aa bb cc zz ee ff yy hh ii xx jj suffix"), (2, "alone"), (3, "two words here"), (4, "words two")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj"), (2, "Alone"), (3, "two words"), (4, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(1, 1): smith_waterman(*(t.split() for t in ("aa bb cc dd ee ff gg hh ii jj", docs[0][1]))), (2, 2): 1.0, (3, 3): 1.0} and got[1, 1] >= 0.5
+    assert sorted(r.doc_id for r in decontam.keep_clean(df, bench).collect()) == [2, 3, 4]
 
 
 def test_edited_copies_are_found(spark):
@@ -470,11 +551,20 @@ def test_one_row_of_each_class_is_kept(spark):
     assert all((r.doc_id, r.text) == docs[r.n] for r in kept)
 
 
-def test_merge_rounds_count_open_bins_exactly(spark, monkeypatch):
-    """The tree goes on or stops by true counts: a sketch that is wrong has no say."""
-    monkeypatch.setattr(packing.F, "approx_count_distinct", lambda c: packing.F.lit(1000).cast("long"))
+def test_merge_rounds_go_on_while_a_piece_fits(spark):
+    """Pieces of alike lengths over many partitions: as few bins as from one; pieces of which no two fit stay alone."""
     docs = spark.range(3000).selectExpr("id doc_id", "repeat('word ', cast(20 + id % 7 as int)) text")
     few = packing.pack(docs.repartition(1)).select("sequence_id").distinct().count()
     assert packing.pack(docs.repartition(40)).select("sequence_id").distinct().count() <= few + 1
-    rows = spark.range(20000).selectExpr("id div 2 sequence_id", "100 * (id % 2) offset", "id % 3 < 3 open")
-    assert rows.agg(packing._open_bins()).first()[0] == 10000
+    alone = spark.range(60).selectExpr("id doc_id", "repeat('word ', 40) text").repartition(20)
+    assert packing.pack(alone, capacity=64).select("sequence_id").distinct().count() == 60
+
+
+def test_a_row_of_very_many_copies_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    monkeypatch.setattr("plumbline.llm.shared.COPIES_AT_ONCE", 16)
+    docs = spark.range(300).selectExpr("if(id < 200, 1, id) doc_id", "if(id < 200, 'same', cast(id as string)) text")
+    got = sharding.assign(docs, 7).collect()
+    assert sorted(g.row for g in got) == list(range(300)) and sum(g.doc_id == 1 for g in got) == 200
+    for s in range(7):
+        assert sorted(g.slot for g in got if g.shard == s) == list(range(len([g for g in got if g.shard == s])))
