@@ -6,14 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Reserved words and object-name prefixes.
-RESERVED_WORDS = (
-    "SELECT INSERT UPDATE DELETE FROM WHERE INTO VALUES SET JOIN INNER LEFT RIGHT FULL OUTER CROSS ON USING UNION ALL INTERSECT EXCEPT ORDER BY GROUP HAVING "
-    "LIMIT OFFSET FETCH DISTINCT AS WITH RECURSIVE CREATE TABLE INDEX VIEW DROP ALTER ADD MODIFY CHANGE RENAME TRUNCATE SCHEMA DATABASE SEQUENCE CONSTRAINT "
-    "PRIMARY FOREIGN REFERENCES DEFAULT CHECK UNIQUE KEY COLUMN AND OR NOT IN EXISTS BETWEEN LIKE IS NULL TRUE FALSE CASE WHEN THEN ELSE END IF BEGIN COMMIT "
-    "ROLLBACK SAVEPOINT GRANT REVOKE RETURN CASCADE RESTRICT USER ROLE PUBLIC SESSION TRANSACTION LOCK CAST CONVERT NATURAL ESCAPE TEMPORARY TEMP INT INTEGER "
-    "SMALLINT BIGINT DECIMAL NUMERIC FLOAT REAL DOUBLE CHAR VARCHAR TEXT DATE TIME TIMESTAMP INTERVAL BOOLEAN BLOB BINARY CURRENT_DATE CURRENT_TIME "
-    "CURRENT_TIMESTAMP CURRENT_USER"
-).split()
+RESERVED_WORDS = [
+    "SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "WHERE", "INTO", "VALUES", "SET", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "OUTER", "CROSS",
+    "ON", "USING", "UNION", "ALL", "INTERSECT", "EXCEPT", "ORDER", "BY", "GROUP", "HAVING", "LIMIT", "OFFSET", "FETCH", "DISTINCT", "AS", "WITH",
+    "RECURSIVE", "CREATE", "TABLE", "INDEX", "VIEW", "DROP", "ALTER", "ADD", "MODIFY", "CHANGE", "RENAME", "TRUNCATE", "SCHEMA", "DATABASE",
+    "SEQUENCE", "CONSTRAINT", "PRIMARY", "FOREIGN", "REFERENCES", "DEFAULT", "CHECK", "UNIQUE", "KEY", "COLUMN", "AND", "OR", "NOT", "IN", "EXISTS",
+    "BETWEEN", "LIKE", "IS", "NULL", "TRUE", "FALSE", "CASE", "WHEN", "THEN", "ELSE", "END", "IF", "BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT",
+    "GRANT", "REVOKE", "RETURN", "CASCADE", "RESTRICT", "USER", "ROLE", "PUBLIC", "SESSION", "TRANSACTION", "LOCK", "CAST", "CONVERT", "NATURAL",
+    "ESCAPE", "TEMPORARY", "TEMP", "INT", "INTEGER", "SMALLINT", "BIGINT", "DECIMAL", "NUMERIC", "FLOAT", "REAL", "DOUBLE", "CHAR", "VARCHAR",
+    "TEXT", "DATE", "TIME", "TIMESTAMP", "INTERVAL", "BOOLEAN", "BLOB", "BINARY", "CURRENT_DATE", "CURRENT_TIME", "CURRENT_TIMESTAMP",
+    "CURRENT_USER",
+]
 RESERVED_PREFIXES = ["pg_", "gs_", "adm_", "my_", "db_"]
 
 

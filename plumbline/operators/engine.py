@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.parse import parse_scripts
-from plumbline.operators.rules import ALL, NONE, Rule
+from plumbline.operators.rules import ALL, Rule
+from plumbline.operators.rules import text as quote
 
 VIOLATION = "struct<rule_id:string,rule_name:string,rule_group:string,severity:string,message:string,line:bigint,column:bigint>"
 
@@ -50,8 +51,8 @@ def select_rules(rules: Iterable[Rule] = ALL, only: RuleFilter = RuleFilter(), a
 
 
 def _labelled(rule: Rule, expression: str) -> str:
-    constants = f"'rule_id', '{rule.id}', 'rule_name', '{rule.name}', 'rule_group', '{rule.group}', 'severity', '{rule.severity}'"
-    applies = ", ".join(f"'{a}'" for a in rule.applies_to)
+    constants = ", ".join(f"'{k}', {quote(v)}" for k, v in (("rule_id", rule.id), ("rule_name", rule.name), ("rule_group", rule.group), ("severity", rule.severity)))
+    applies = ", ".join(map(quote, rule.applies_to))
     return f"case when script_type in ({applies}) then transform({expression}, h -> named_struct({constants}, 'message', h.message, 'line', h.line, 'column', h.`column`)) else {EMPTY} end"
 
 
@@ -62,6 +63,14 @@ def _combined(parts: list[str]) -> str:
     return f"concat({', '.join(parts)})" if parts else EMPTY
 
 
+def _by_kind(rules: list[Rule]) -> str:
+    """Hits of one statement: only the rules for its kind are evaluated."""
+    kinds = dict.fromkeys(k for r in rules for k in r.kinds)
+    own = lambda k: _combined([_labelled(r, r.expression()) for r in rules if not r.kinds or k in r.kinds])
+    branches = " ".join(f"when {quote(k)} then {own(k)}" for k in kinds)
+    return f"case s.kind {branches} else {own('')} end" if branches else own("")
+
+
 def exemptions(marker: str = "lint") -> str:
     """array<struct<line, ids>> of `-- lint-disable-next-line IDS`, `-- lint-disable-line IDS` and `/* lint-disable IDS */`."""
     form = lambda l: f"regexp_extract({l}, '(?i){marker}-disable(-next-line|-line)?(.*)', 1)"
@@ -76,9 +85,11 @@ _EXEMPT = "exists(exempt, e -> e.line = h.line and exists(e.ids, d -> d = '*' or
 
 def violations(asts: DataFrame, rules: Iterable[Rule], dialect: str = "generic", marker: str = "lint", trust_dynamic: bool = False) -> DataFrame:
     """Violations of parsed scripts. An optional column `line_offset` (mapper files) moves all lines."""
-    rules = list(rules)
+    stopped = [r for r in rules if r.problem]
+    rules = [r for r in rules if not r.problem]
     file_rules = [_labelled(r, r.expression()) for r in rules if r.level == "file"]
-    row_rules = [_labelled(r, r.expression()) for r in rules if r.level == "statement"]
+    row_rules = _by_kind([r for r in rules if r.level == "statement"])
+    problems = _combined([_labelled(r, f"array(named_struct('message', {quote(r.problem)}, 'line', cast(null as bigint), 'column', cast(null as bigint)))") for r in stopped])
     guard = "concat('SQL parse error: ', ast.parse_error)"
     guarded = [_labelled(r, f"array(named_struct('message', {guard}, 'line', cast(1 as bigint), 'column', cast(null as bigint)))") for r in rules if r.guarded]
     unguarded = [_labelled(r, r.expression()) for r in rules if r.level == "file" and not r.guarded]
@@ -98,11 +109,11 @@ def violations(asts: DataFrame, rules: Iterable[Rule], dialect: str = "generic",
     )
     rows = rows.select(
         "file_path", "script_type", "line_offset", F.expr(exemptions(marker)).alias("exempt"), F.expr("transform(statements, s -> named_struct('line', s.line, 'end_line', s.end_line))").alias("spans"),
-        F.expr(per_file).alias("file_hits"), F.expr(dynamic).alias("is_dynamic"), F.posexplode_outer("statements").alias("pos", "s"),
+        F.expr(f"concat({per_file}, {problems})" if stopped else per_file).alias("file_hits"), F.expr(dynamic).alias("is_dynamic"), F.posexplode_outer("statements").alias("pos", "s"),
     )
     rows = rows.select("*", F.expr("if(s.kind = 'SELECT', get(s.selects, 0), null)").alias("r"), F.expr("if(s.kind = 'SELECT', s.selects, null)").alias("q"))
     failed_hit = f"case when s.kind = 'PARSE_ERROR' and not is_dynamic then array({failed}) else {EMPTY} end"
-    every = f"concat(if(coalesce(pos, 0) = 0, file_hits, {EMPTY}), case when s is null then {EMPTY} else concat({failed_hit}, {_combined(row_rules)}) end)"
+    every = f"concat(if(coalesce(pos, 0) = 0, file_hits, {EMPTY}), case when s is null then {EMPTY} else concat({failed_hit}, {row_rules}) end)"
     kept = f"if(size(exempt) > 0, filter(hits, h -> h.line is null or not {_EXEMPT}), hits)"
     out = rows.select("file_path", "script_type", "line_offset", "spans", "exempt", F.expr(every).alias("hits")).select("file_path", "script_type", "line_offset", "spans", F.explode(F.expr(kept)).alias("h"))
     end = "get(filter(spans, x -> x.line <= h.line and x.end_line >= h.line), 0).end_line"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import shutil
 import tomllib
 from dataclasses import replace
 from pathlib import Path
@@ -98,6 +100,64 @@ def verify(locked: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem")).where("problem is not null")
 
 
+# --- rules list, vendor, add -----------------------------------------------------------------------------------------------------
+def listing(packs: list[dict], rules: list[Rule] | None = None, notices: list[str] = (), as_json: bool = False) -> str:
+    """Packs (name, version, namespace, api_version, rule_count) and effective rules as text, or as JSON."""
+    rules = [*CORE, *GAUSS] if rules is None else rules
+    source = lambda r: next((p["name"] for p in packs if p.get("namespace") and r.id.startswith(p["namespace"] + ":")), "local")
+    if as_json:
+        rows = [{"id": r.id, "name": r.name, "group": r.group, "severity": r.severity, "enabled": r.enabled, "applies_to": list(r.applies_to), "source": source(r)} for r in rules]
+        return json.dumps({"packs": packs, "rule_count": len(rules), "rules": rows, "notices": list(notices)}, ensure_ascii=False, indent=2)
+    out = ["Rule packs (later ones win):", *(f"  {p['name']:<24} {p.get('version', '-'):<10} namespace={p.get('namespace') or '-':<10} api_version={p.get('api_version', '-')} rules={p.get('rule_count', 0)}" for p in packs)] if packs else ["No rule packs."]
+    wide = max([2, *(len(r.id) for r in rules)])
+    group = max([5, *(len(r.group or "-") for r in rules)])
+    out += ["", f"{'ID':<{wide}}  {'GROUP':<{group}}  {'SEV':<7}  {'ENABLED':<7}  SOURCE"]
+    out += [f"{r.id:<{wide}}  {r.group or '-':<{group}}  {r.severity:<7}  {'yes' if r.enabled else 'no':<7}  {source(r)}" for r in rules]
+    return "\n".join([*out, "", f"{len(rules)} rule(s) effective", *(f"note: {n}" for n in notices)])
+
+
+def read_pack(root: str) -> dict:
+    """The [pack] table of a pack's folder, with its rule_count; ValueError if it is not usable."""
+    raw = tomllib.loads((Path(root) / "pack.toml").read_text(encoding="utf-8"))
+    pack = raw.get("pack", {})
+    problems = check_pack(pack)
+    if problems:
+        raise ValueError("; ".join(problems))
+    return pack | {"rule_count": len(raw.get("rules", [])), "rules": raw.get("rules", [])}
+
+
+def vendor(roots: dict[str, str], config_dir: str, to: str = "vendor/rules") -> list[str]:
+    """Copy packs (name -> folder) below the configuration's folder; returns the new folders. ValueError without packs."""
+    if not roots:
+        raise ValueError("no rule packs to vendor")
+    out = []
+    for name, root in roots.items():
+        target = Path(config_dir) / to / name
+        shutil.copytree(root, target, dirs_exist_ok=True)
+        out.append(str(target))
+    return out
+
+
+def add(spec: str, config_path: str) -> str:
+    """Append a pack, `name`, `name@version` or a folder, to the configuration's pack list; returns the entry. ValueError if it is there."""
+    path = Path(config_path)
+    text = path.read_text(encoding="utf-8") if path.exists() else ""
+    known = tomllib.loads(text).get("rule_packs", {}).get("packs", [])
+    if Path(spec).is_dir():
+        pack = read_pack(spec)
+        entry = {"name": pack["name"], "version": str(pack.get("version", "")), "path": spec}
+    else:
+        name, _, version = spec.partition("@")
+        entry = {"name": name, "version": version}
+    if not re.fullmatch(r"[a-z0-9][a-z0-9_-]*", entry["name"]):
+        raise ValueError(f"bad pack name {entry['name']!r}")
+    if any(p.get("name") == entry["name"] for p in known):
+        raise ValueError(f"{entry['name']} is configured already")
+    lines = ["[[rule_packs.packs]]", *(f"{k} = {json.dumps(v)}" for k, v in entry.items() if v)]
+    path.write_text(text.rstrip("\n") + ("\n\n" if text.strip() else "") + "\n".join(lines) + "\n", encoding="utf-8")
+    return "\n".join(lines)
+
+
 def rules_table(spark, rules=None) -> DataFrame:
     rows = [(r.id, r.name, r.group, r.severity, r.enabled, ",".join(r.applies_to), {k: str(v) for k, v in r.params.items()}) for r in (rules or [*CORE, *GAUSS])]
     return spark.createDataFrame(rows, "rule_id string, rule_name string, rule_group string, severity string, enabled boolean, applies_to string, params map<string,string>")

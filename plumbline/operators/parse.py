@@ -63,6 +63,47 @@ def comments(asts: DataFrame) -> DataFrame:
     return asts.select("file_path", F.explode("ast.comments").alias("c")).select("file_path", "c.*")
 
 
+def statement_at(line: int) -> str:
+    """Expression: the first statement of `ast` that holds a line, or null."""
+    return f"get(filter(ast.statements, s -> s.line <= {int(line)} and s.end_line >= {int(line)}), 0)"
+
+
+def file_facts(asts: DataFrame) -> DataFrame:
+    """One row a file that has statements: its kinds, created and dropped names, and flags; all from the file's own row."""
+    kinds = "array_sort(array_distinct(transform(ast.statements, s -> s.kind)))"
+    names = lambda field, name: f"transform(filter(ast.statements, s -> s.{field} is not null), s -> s.{field}.{name})"
+    return asts.where("size(ast.statements) > 0").selectExpr(
+        "file_path", f"{kinds} kinds", f"{names('create_table', 'table_name')} created_tables", f"{names('drop', 'name')} dropped_objects", "aggregate(ast.statements, 0, (n, s) -> n + coalesce(size(s.selects), 0)) select_count",
+        "exists(ast.statements, s -> s.kind = 'CREATE_TABLE') has_create_table", "exists(ast.statements, s -> s.kind = 'DROP_TABLE') has_drop_table",
+    )
+
+
+#: Expressions over a select `x`.
+SELECT_FACTS = {
+    "order_by_text": "x.order_by_text",
+    "order_by_without_direction": "exists(x.order_by, o -> o.asc is null)",
+    "order_by_without_nulls": "exists(x.order_by, o -> o.nulls_first is null)",
+    "has_cross_join": "exists(x.joins, j -> j.join_type = 'CROSS')",
+    "join_without_condition": "exists(x.joins, j -> not j.has_condition)",
+}
+
+
+def references(qualifier: str) -> str:
+    """Expression: select `x` refers to a table or an alias of that name."""
+    return f"array_contains(x.qualifiers, upper({qualifier}))"
+
+
+def sets_column(column: str) -> str:
+    """Expression: statement `s` is an UPDATE that sets the column."""
+    return f"coalesce(exists(s.update.set_columns, c -> lower(c) = lower({column})), false)"
+
+
+def select_accessors(asts: DataFrame) -> DataFrame:
+    """One row a select: file_path, stmt_index, select_id and `SELECT_FACTS`."""
+    rows = asts.select("file_path", F.posexplode("ast.statements").alias("stmt_index", "s")).select("file_path", "stmt_index", F.explode("s.selects").alias("x"))
+    return rows.select("file_path", "stmt_index", "x.select_id", *[F.expr(e).alias(n) for n, e in SELECT_FACTS.items()])
+
+
 def explain(asts: DataFrame) -> DataFrame:
     """The parse result of every file as JSON text."""
     return asts.select("file_path", F.to_json("ast").alias("ast_json"))

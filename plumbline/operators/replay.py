@@ -98,6 +98,25 @@ def probe(statements: DataFrame) -> DataFrame:
     return statements.withColumn("_p", _probe("sql")).select(*statements.columns, "_p.*")
 
 
+FIXTURES = "map<string,array<string>>"
+
+
+def read_fixtures(spark, path: str) -> DataFrame:
+    """A JSON object {statement id: [values]} -> (stmt_id, params)."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", FIXTURES)).alias("stmt_id", "params"))
+
+
+def bind(statements: DataFrame, fixtures: DataFrame, auto_value: str | None = None) -> DataFrame:
+    """statements with `bound`, a value for each placeholder in order: the fixture's (it may be null), beyond it `auto_value`,
+    and `has_fixture`. fixtures: (stmt_id, params), one row an id."""
+    known = fixtures.select(F.col("stmt_id").alias("id"), F.coalesce("params", F.array().cast("array<string>")).alias("params"))
+    rows = probe(statements).join(known, "id", "left")
+    given = F.when(F.col("placeholders") > 0, F.sequence(F.lit(1), F.col("placeholders"))).otherwise(F.array().cast("array<int>"))
+    value = lambda i: F.when(i <= F.size("params"), F.get("params", i - 1)).otherwise(F.lit(auto_value).cast("string"))
+    return rows.select(*statements.columns, "placeholders", (F.col("params").isNotNull() | F.lit(auto_value is not None)).alias("has_fixture"), F.transform(given, value).alias("bound"))
+
+
 def parameter_findings(statements: DataFrame, fixtures: DataFrame, auto_params: bool = False) -> DataFrame:
     """PARAM001: placeholders without a fixture; DYN003: very long IN lists. fixtures: (stmt_id, params)."""
     known = fixtures.select(F.col("stmt_id").alias("id")).distinct().withColumn("has_fixture", F.lit(True))
@@ -151,6 +170,6 @@ def report_html(results: DataFrame) -> str:
 
     s = report_summary(results).first().asDict()
     head = "".join(f"<li>{k}: {v}</li>" for k, v in s.items())
-    rows = results.where("status = 'error' or level <> 'none' or n_findings > 0").orderBy("stmt_id").collect()
+    rows = results.where("status = 'error' or level <> 'none' or n_findings > 0").orderBy("stmt_id").toLocalIterator()
     body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in (r.stmt_id, r.status, r.level, r.n_findings)) + "</tr>" for r in rows)
     return f"<!DOCTYPE html><html><body><ul>{head}</ul><table>{body}</table></body></html>"

@@ -1,7 +1,8 @@
 """Backup and rollback SQL for each statement, with a safety class; templates are Column expressions.
 
-Numbers of statements and of backup tables run over the whole corpus in file and line order. They come from counts per file
-and a running sum over files, so statements themselves are only ordered within their file.
+Numbers of statements and of backup tables run over the whole corpus in file and line order. They come from counts in each
+file's own row and a running sum over files: files are ranged by path over tasks, each range is summed by itself, and only the
+totals of the ranges are summed in one place. Statements are only ordered within their file.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from plumbline.functions.lexer import values_tuples
 
@@ -27,6 +29,7 @@ class Options:
     allow_partial: bool = False
     fail_on_warning: bool = False
     wrap_transaction: bool = True
+    replace_kind: bool = False  # REPLACE is a kind of its own, not an INSERT
 
     @property
     def mysql(self) -> bool:
@@ -143,23 +146,64 @@ def _insert_udf(o: Options):
     return deletes
 
 
-def number(rows: DataFrame, name: str, counted: Column, order: list[str]) -> DataFrame:
-    """A running number over the corpus (file, then `order`) of the rows for which `counted` holds."""
-    flagged = rows.withColumn("_one", counted.cast("int"))
-    files = flagged.groupBy("file_path").agg(F.sum("_one").alias("_n"))
-    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    base = files.select("file_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("file_path").orderBy(*order)
-    return flagged.join(base, "file_path").withColumn(name, F.when(F.col("_one") == 1, F.col("_base") + F.sum("_one").over(own))).drop("_one", "_base")
+def _replace_udf(o: Options):
+    mark = "`" if o.mysql else '"'
+
+    @F.pandas_udf("struct<filter:string,warning:string>")
+    def rows_by_key(sql: pd.Series, columns: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        """The old rows that a REPLACE overwrites, by the values of its one key column; else all rows of the table."""
+
+        def one(text, cols, pk):
+            if text is None:
+                return None, None
+            tuples = values_tuples(text)
+            if not tuples:
+                return None, "VALUES extraction failed, full table backup"
+            if pk is None or not len(pk):
+                return None, "no primary key, full table backup"
+            if len(pk) > 1:
+                return None, "composite PK not supported for REPLACE incremental backup, full table backup"
+            at = next((i for i, c in enumerate(cols if cols is not None else []) if c.strip('`"').lower() == pk[0].lower()), None)
+            if at is None:
+                return None, "PK column not in REPLACE columns, full table backup"
+            values = [t[at] for t in tuples if at < len(t)]
+            if not values:
+                return None, "PK value extraction failed, full table backup"
+            return f"{mark}{pk[0].replace(mark, mark * 2)}{mark} IN ({', '.join(values)})", None
+
+        return pd.DataFrame([one(*x) for x in zip(sql, columns, keys, strict=True)], columns=["filter", "warning"])
+
+    return rows_by_key
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows, computed once: in the checkpoint folder if there is one, else held by the executors."""
+    if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return rows.checkpoint()
+    return rows.persist(StorageLevel.DISK_ONLY)
+
+
+def running(files: DataFrame, columns: list[str]) -> DataFrame:
+    """files (file_path, counts..), one row a file -> file_path and for each count the sum over all files before it (`<count>_before`)."""
+    ranged = _kept(files.repartitionByRange("file_path").withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in columns])
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = totals.select("_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in columns])
+    own = Window.partitionBy("_range").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.select("file_path", "_range", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(c) for c in columns])
+    return summed.join(base, "_range").select("file_path", *[(F.col(c) + F.col(f"_{c}")).alias(f"{c}_before") for c in columns])
 
 
 def pairs(asts: DataFrame, o: Options = Options()) -> DataFrame:
-    """One row a statement: backup and rollback SQL, safety flags, review level, lock type and warnings."""
-    s = asts.select("file_path", F.posexplode("ast.statements").alias("stmt_index", "s"))
-    rows = number(s, "seq", F.lit(True), ["stmt_index"])
+    """One row a statement: backup and rollback SQL, safety flags, review level, lock type and warnings. Paths of files are unique."""
+    replaces = "(s.kind = 'INSERT' and s.insert.replace)" if o.replace_kind else "false"
     full = f"({_FULL} and not ('{o.backup_mode}' = 'incremental' and s.kind = 'ALTER_TABLE'))"
-    has_backup = F.expr(f"{full} or s.kind in ('UPDATE', 'DELETE', 'TRUNCATE')")
-    rows = number(rows, "backup_seq", has_backup, ["stmt_index"])
+    backed_up = f"({full} or s.kind in ('UPDATE', 'DELETE', 'TRUNCATE') or {replaces})"
+    counts = asts.select("file_path", F.expr("cast(size(ast.statements) as bigint)").alias("n"), F.expr(f"cast(size(filter(ast.statements, s -> {backed_up})) as bigint)").alias("b"))
+    rows = asts.select("file_path", F.expr("ast.statements").alias("statements")).join(running(counts, ["n", "b"]), "file_path").select("file_path", "n_before", "b_before", F.posexplode("statements").alias("stmt_index", "s"))
+    has_backup = F.expr(backed_up)
+    own = Window.partitionBy("file_path").orderBy("stmt_index")
+    rows = rows.withColumn("seq", F.col("n_before") + F.col("stmt_index") + 1).withColumn("backup_seq", F.when(has_backup, F.col("b_before") + F.sum(has_backup.cast("long")).over(own)))
     safe = "regexp_replace(tbl, '[^A-Za-z0-9_]', '_')"
     rows = rows.withColumn("tbl", F.expr(target())).withColumn("w", F.expr("coalesce(s.update.where_clause, s.delete.where_clause)"))
     rows = rows.withColumn("bks", F.expr(f"concat('{o.prefix}', {safe}, '_{o.date}_', lpad(cast(backup_seq as string), greatest(4, length(cast(backup_seq as string))), '0'))"))
@@ -170,6 +214,9 @@ def pairs(asts: DataFrame, o: Options = Options()) -> DataFrame:
         pk = F.when(F.lower("tbl") == t, F.array(*[F.lit(c) for c in cols])).otherwise(pk)
     rows = rows.withColumn("pk", pk)
     ins = _insert_udf(o)(F.expr("s.stmt_text"), F.expr("if(s.kind = 'INSERT', tbl, null)"), F.expr("s.insert.columns"), F.col("pk"))
+    if o.replace_kind:
+        rows = rows.withColumn("rep", _replace_udf(o)(F.expr(f"if({replaces}, s.stmt_text, null)"), F.expr("s.insert.columns"), F.col("pk")))
+        rows = rows.withColumn("w", F.when(F.expr(replaces), F.col("rep.filter")).otherwise(F.col("w")))
     rows = rows.withColumn("ins", ins)
     t, b = quoted("tbl", o), quoted("bks", o)
     col = quoted("c", o)
@@ -180,30 +227,32 @@ def pairs(asts: DataFrame, o: Options = Options()) -> DataFrame:
     m = _templates(o)
     structural = f"if(s.kind = 'DROP_TABLE', {m['rebuild']}, {m['restructure']})"
     view = "s.kind = 'DROP_VIEW'"
-    backup = F.expr(f"case when {full} then concat({m['schema_check']}, '\\n', if({view}, {m['view_backup']}, {m['backup_full']})) when s.kind in ('UPDATE', 'DELETE', 'TRUNCATE') then {m['backup_where']} end")
+    backup = F.expr(f"case when {full} then concat({m['schema_check']}, '\\n', if({view}, {m['view_backup']}, {m['backup_full']})) when {backed_up} then {m['backup_where']} end")
     inverse = _alter_inverse(o)
     rollback = F.expr(
-        f"case when s.kind = 'CREATE_TABLE' then {m['drop_table']} when s.kind = 'CREATE_INDEX' then {m['drop_index']} when s.kind = 'CREATE_VIEW' then {m['drop_view']} "
+        f"case when {replaces} then {m['reinsert']} when s.kind = 'CREATE_TABLE' then {m['drop_table']} when s.kind = 'CREATE_INDEX' then {m['drop_index']} when s.kind = 'CREATE_VIEW' then {m['drop_view']} "
         f"when {_METADATA} then nullif(array_join({inverse}, '\\n'), '') "
         f"when {full} then concat({m['schema_check']}, '\\n', {m['partition_check']}, '\\n', if({view}, {m['view_rollback']}, {structural})) "
         f"when s.kind = 'INSERT' then ins.rollback when s.kind = 'UPDATE' then if(size(s.update.set_columns) = 0, null, {update}) when s.kind in ('DELETE', 'TRUNCATE') then {m['reinsert']} end"
     )
     no_where = "coalesce(w, '') = ''"
-    reliable = F.expr(f"case when {_METADATA} then forall({inverse}, x -> x is not null) when s.kind = 'INSERT' then ins.reliable when s.kind = 'UPDATE' then not {no_where} and coalesce(size(pk), 0) > 0 when s.kind = 'DELETE' then not {no_where} when s.kind = 'TRUNCATE' then true else false end")
+    reliable = F.expr(f"case when {replaces} then true when {_METADATA} then forall({inverse}, x -> x is not null) when s.kind = 'INSERT' then ins.reliable when s.kind = 'UPDATE' then not {no_where} and coalesce(size(pk), 0) > 0 when s.kind = 'DELETE' then not {no_where} when s.kind = 'TRUNCATE' then true else false end")
     known = f"(s.kind in ('CREATE_TABLE', 'CREATE_INDEX', 'CREATE_VIEW', 'INSERT', 'UPDATE', 'DELETE', 'TRUNCATE') or {_METADATA} or {full} or s.kind in {_SKIPPED})"
-    lock = f"(s.kind in ('UPDATE', 'DELETE', 'TRUNCATE') or ({full} and not {view}))"
+    lock = f"(s.kind in ('UPDATE', 'DELETE', 'TRUNCATE') or {replaces} or ({full} and not {view}))"
+    incomplete = "'REPLACE rollback incomplete: cannot DELETE newly inserted rows statically, manual cleanup required'"
+    of_replace = f"if({replaces}, rep.warning, null), if({replaces}, {incomplete}, null)" if o.replace_kind else "null"
     warnings = F.expr(
         "array_join(array_compact(array("
-        f"if({full}, 'structure beyond LIKE (foreign keys, triggers, comments) is not kept', null), if({full}, 'partition check emitted', null), ins.warning, "
+        f"if({full}, 'structure beyond LIKE (foreign keys, triggers, comments) is not kept', null), if({full}, 'partition check emitted', null), if({replaces}, null, ins.warning), {of_replace}, "
         f"if(s.kind = 'UPDATE' and coalesce(size(pk), 0) = 0, 'no primary key, fallback to all-column JOIN (less reliable)', null), if(s.kind in ('UPDATE', 'DELETE') and {no_where}, concat(s.kind, ' without WHERE, full table backup'), null), "
         f"case when s.kind = 'MERGE' then 'MERGE/UPSERT not supported, split into INSERT+UPDATE' when not {known} then concat('Unsupported statement kind: ', s.kind) end)), '; ')"
     )
     auto = "(s.kind = 'ALTER_TABLE' and exists(s.alter.ops, x -> contains(upper(x.detail), 'AUTO_INCREMENT') or contains(upper(x.detail), 'SERIAL')))"
     out = rows.select(
-        "seq", "file_path", F.expr("s.line").alias("line"), F.expr("s.kind").alias("stmt_kind"), F.col("tbl").alias("target_table"), F.when(has_backup, F.col("bks")).alias("backup_table"), F.expr("s.stmt_text").alias("original_sql"),
-        backup.alias("backup"), rollback.alias("rollback"), F.coalesce(reliable, F.lit(False)).alias("reliable"), F.expr(full).alias("partial"), F.expr(f"not {known}").alias("irreversible"),
+        "seq", "file_path", F.expr("s.line").alias("line"), F.expr(f"if({replaces}, 'REPLACE', s.kind)").alias("stmt_kind"), F.col("tbl").alias("target_table"), F.when(has_backup, F.col("bks")).alias("backup_table"), F.expr("s.stmt_text").alias("original_sql"),
+        backup.alias("backup"), rollback.alias("rollback"), F.coalesce(reliable, F.lit(False)).alias("reliable"), F.expr(f"{full} or {replaces}").alias("partial"), F.expr(f"not {known}").alias("irreversible"),
         F.expr(f"s.kind = 'TRUNCATE' or ({full} and {auto})").alias("counter_unrestored"), F.expr(lock).alias("requires_lock"), F.lit(False).alias("partitioned"), F.expr(f"{full} and s.kind = 'DROP_TABLE'").alias("irreversible_if_backup_missing"),
-        F.expr(f"case when {full} or s.kind = 'TRUNCATE' then 'full' when s.kind in ('UPDATE', 'DELETE') then 'incremental' end").alias("backup_mode"), warnings.alias("warnings"),
+        F.expr(f"case when {full} or s.kind = 'TRUNCATE' then 'full' when {backed_up} then 'incremental' end").alias("backup_mode"), warnings.alias("warnings"),
     )
     return finalize(out, o)
 
@@ -292,7 +341,7 @@ def review_html(found: DataFrame, title: str = "Rollback review") -> str:
     import html
 
     parts = []
-    rows = review(found).orderBy("review_level", "seq").collect()
+    rows = [r for level in ("required", "optional") for r in review(found).where(F.col("review_level") == level).orderBy("seq").toLocalIterator()]
     for level in ("required", "optional"):
         own = [r for r in rows if r.review_level == level]
         body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x if x is not None else ''))}</td>" for x in (r.seq, r.file_path, r.line, r.stmt_kind, r.target_table, r.warnings)) + "</tr>" for r in own)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import idents
 from plumbline.functions.lexer import normalize_placeholders, repair_artifacts, rewrite_oracle_style, tokenize, top_words
+from plumbline.functions.text import line_range, text_slice
 from plumbline.operators import engine, plan_findings, relations, replay, reports, rollback
-from plumbline.operators.parse import comments, parse_scripts, selects, statements
-from plumbline.operators.rules import ALL, CORE
+from plumbline.operators.explain import explain_text
+from plumbline.operators.incremental import check_diff as diff_check
+from plumbline.operators.parse import comments, explain, file_facts, parse_scripts, references, selects, statement_at, statements
+from plumbline.operators.parse import select_accessors as accessors
+from plumbline.operators.rules import ALL, BY_ID, CORE, user_rule, when
+from plumbline.operators.rules import text as quote
 from plumbline.plans import corpus
 from plumbline.plans.corpus import table, templated
 from plumbline.sources import diff, files, mapper
@@ -62,6 +69,117 @@ def violations_names(spark, sf):
     return engine.violations(_asts(spark, sf, corpus.NAMES), _all_rules(only)).select("file_path", "rule_id", "message", "line")
 
 
+@query
+def violations_repeated(spark, sf):
+    """The main corpus with repeated texts, each different text parsed once."""
+    asts = parse_scripts(templated(spark, sf, corpus.MAIN, distinct=False), distinct_text=True)
+    return engine.violations(asts, _all_rules()).select(*_HIT)
+
+
+def _composed(spark, sf, parts, script_type="dml"):
+    return engine.violations(parse_scripts(corpus.composed(spark, sf, parts, script_type)), _all_rules())
+
+
+@query
+def rules_on_reads(spark, sf):
+    """Rules on SELECT over texts put together from parts."""
+    return _composed(spark, sf, corpus.READS).select("file_path", "rule_id", "line")
+
+
+@query
+def rules_on_changes(spark, sf):
+    """Rules on UPDATE and DELETE over texts put together from parts."""
+    found = _composed(spark, sf, corpus.CHANGES)
+    return found.select("file_path", "rule_id", "line")
+
+
+@query
+def rules_on_shapes(spark, sf):
+    """Numbers of tables, unused names, nested CASE, joins without condition."""
+    return _composed(spark, sf, corpus.SHAPES).select("file_path", "rule_id", "line")
+
+
+@query
+def rules_on_lengths(spark, sf):
+    """GPERF001: statements around the limit."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("SELECT a FROM t WHERE b = '"), F.repeat(F.lit("x"), (k % 200 + 4990).cast("int")), F.lit("'"))
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("o/"), k, F.lit(".sql")).alias("file_path"), F.lit("dml").alias("script_type"), text.alias("text"))
+    return engine.violations(parse_scripts(rows), _all_rules()).select("file_path", "rule_id", "message")
+
+
+@query
+def rules_on_tables(spark, sf):
+    """GNAM001, GNAM002, GNAM004, GTYP001, DDL007: names and columns by formula."""
+    return _composed(spark, sf, corpus.TABLES, "ddl").select("file_path", "rule_id", "message")
+
+
+@query
+def user_rules(spark, sf):
+    """Rules of a user; a script that is missing and one that does not run."""
+    with tempfile.TemporaryDirectory() as folder:
+        for name, text in (("limit.sql", when("r.has_limit", "concat('LIMIT of ', r.from_tables[0])")), ("wrong.sql", "no_such_function(s)")):
+            Path(folder, name).write_text(text, encoding="utf-8")
+        rules = [user_rule(spark, f"LOCAL{i + 1}", path, kinds=("SELECT",) if i == 0 else ()) for i, path in enumerate((f"{folder}/limit.sql", "rules/none.sql", f"{folder}/wrong.sql"))]
+    asts = _asts(spark, sf, [("dml", "SELECT a FROM s{k} LIMIT 1"), ("dml", "SELECT a FROM t{k}")])
+    found = engine.violations(asts, rules)
+    return found.select("file_path", "rule_id", F.regexp_replace("message", "(?s)^(Rule execution error):.*", "$1").alias("message"), "line")
+
+
+@query
+def dialect_fallback(spark, sf):
+    """Each statement by the first dialect of the chain that takes it."""
+    rows = templated(spark, sf, [("dml", x) for x in corpus.DIALECTS])
+    out = None
+    for dialect, fallback in (("postgresql", ("oracle",)), ("mysql", ()), ("oracle", ()), ("gaussdb", ())):
+        found = parse_scripts(rows, dialect, fallback).selectExpr("file_path", f"'{dialect}' dialect", "ast.statements[0].kind kind", "get(ast.statements[0].selects, 0) r")
+        found = found.selectExpr("file_path", "dialect", "kind", "r.is_except", "r.has_unqualified_column unqualified")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query
+def check_diff(spark, sf):
+    """Changed files by the end of their path, rules by hunk, checks of bytes for the whole file."""
+    k = F.col("o_orderkey")
+    s = k.cast("string")
+    line = F.when(k % 5 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    text = F.concat(F.lit("DELETE FROM a"), s, F.lit(";"), line, F.lit("UPDATE b SET x = "), s, F.lit(";"), line, F.lit("SELECT * FROM c"), s)
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("o/"), s, F.lit(".sql")).alias("file_path"), F.lit("dml").alias("script_type"), text.alias("text")).withColumn("content", F.encode("text", "UTF-8"))
+    at = (k % 4 + 1).cast("long")
+    hunks = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.concat(F.lit("sql/o/"), s, F.lit(".sql")).alias("path"), F.lit("new").alias("side"), at.alias("start_line"), at.alias("end_line"), (k % 7 == 0).alias("is_new"))
+    return diff_check(rows, hunks, [BY_ID["DML001"], BY_ID["DML002"]]).select("file_path", "rule_id", "line")
+
+
+@query
+def explain_tree(spark, sf):
+    """The parse result as an indented text."""
+    return explain_text(_asts(spark, sf, [
+        ("ddl", "CREATE TABLE t{k} (id INT PRIMARY KEY, n VARCHAR(10) NOT NULL DEFAULT 'x')"), ("dml", "SELECT DISTINCT a{k}, b.c AS d FROM t LEFT JOIN b ON t.i = b.i WHERE a > 1 ORDER BY a DESC LIMIT 3"),
+        ("dml", "-- note\nDELETE FROM t{k};\nSELEC 1"),
+    ]))
+
+
+@query
+def bound_parameters(spark, sf):
+    """Values of a statement's placeholders."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    sql = F.concat(F.lit("SELECT '?' FROM t"), F.when(k % 4 > 0, F.concat(F.lit(" WHERE "), F.array_join(F.array_repeat(F.lit("a = ?"), (k % 4).cast("int")), " AND "))).otherwise(""))
+    fixtures = c.where("c_custkey % 3 = 0").select(k.cast("string").alias("stmt_id"), F.array(F.concat(F.lit("v"), k), F.lit(None)).alias("params"))
+    bound = replay.bind(c.select(k.cast("string").alias("id"), sql.alias("sql")), fixtures)
+    return bound.select("id", "placeholders", "has_fixture", F.array_join("bound", ",", "null").alias("bound"))
+
+
+@query
+def select_accessors(spark, sf):
+    """What is derived from a select."""
+    texts = ["SELECT a FROM t{k} ORDER BY a, b DESC", "SELECT a FROM t{k} ORDER BY a ASC NULLS LAST", "SELECT a.x FROM a CROSS JOIN b{k}", "SELECT a.x FROM a INNER JOIN b{k}"]
+    asts = _asts(spark, sf, [("dml", x) for x in texts])
+    uses = asts.select("file_path", F.expr(f"element_at(transform(array(ast.statements[0].selects[0]), x -> {references(quote('a'))}), 1)").alias("uses_a"))
+    return accessors(asts).join(uses, "file_path").select("file_path", "order_by_text", "order_by_without_direction", "order_by_without_nulls", "has_cross_join", "join_without_condition", "uses_a")
+
+
 @query
 def rule_filter(spark, sf):
     """Prefix inclusion, group exclusion."""
@@ -101,37 +219,30 @@ def comment_list(spark, sf):
 @query
 def explain_json(spark, sf):
     """The parse result as JSON (its first statement's kind is read back)."""
-    from plumbline.operators.parse import explain
-
     return explain(_asts(spark, sf, corpus.MAIN)).select("file_path", F.get_json_object("ast_json", "$.statements[0].kind").alias("kind"))
 
 
 @query
 def ast_aggregates(spark, sf):
     """Kinds of each file, flags for created and dropped tables."""
-    s = statements(_asts(spark, sf, corpus.LINES))
-    return s.groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.bool_or(F.col("kind") == "CREATE_TABLE").alias("has_create_table"), F.bool_or(F.col("kind") == "DROP_TABLE").alias("has_drop_table"))
+    return file_facts(_asts(spark, sf, corpus.LINES)).select("file_path", F.array_join("kinds", ",").alias("kinds"), "has_create_table", "has_drop_table")
 
 
 @query
 def statement_at_line(spark, sf):
     """The first statement that holds a line."""
-    asts = _asts(spark, sf, corpus.LINES)
-    first = "get(filter(ast.statements, s -> s.line <= 2 and s.end_line >= 2), 0)"
-    return asts.select("file_path", F.expr(f"{first}.kind").alias("kind"), F.expr(f"{first}.line").alias("line"))
+    return _asts(spark, sf, corpus.LINES).select("file_path", F.expr(f"{statement_at(2)}.kind").alias("kind"), F.expr(f"{statement_at(2)}.line").alias("line"))
 
 
 @query
 def line_range_text(spark, sf):
     """Lines 2 to 3 of every document."""
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 2, 2), "\n").alias("lines"))
+    return table(spark, sf, "documents").select("doc_id", line_range(F.col("text"), 2, 3).alias("lines"))
 
 
 @query
 def text_slices(spark, sf):
     """Characters from line 1, column 5 up to line 3, column 9."""
-    from plumbline.functions.text import text_slice
-
     return table(spark, sf, "documents").select("doc_id", text_slice(F.col("text"), 1, 5, 3, 9).alias("part"))
 
 
@@ -289,7 +400,21 @@ def mapper_violations(spark, sf):
 @query
 def mapper_failures(spark, sf):
     """M9: why mapper statements do not parse."""
-    return mapper.failures(mapper.mapper_sql(corpus.mappers(spark, sf))).select("category", "n")
+    return mapper.failures(mapper.mapper_sql(corpus.broken_mappers(spark, sf)))
+
+
+@query
+def mapper_includes(spark, sf):
+    """Fragments of other files and namespaces, two steps away."""
+    m = mapper.mapper_sql(corpus.including_mappers(spark, sf))
+    return m.select("file_path", "statement_id", "raw_xml_line", "sql_all")
+
+
+@query
+def mapper_lines(spark, sf):
+    """Rules report lines of the XML file."""
+    m = mapper.mapper_sql(corpus.including_mappers(spark, sf), across_files=False)
+    return engine.check(mapper.as_scripts(m), [BY_ID["DML002"]]).where("rule_id = 'DML002'").select("file_path", "rule_id", "line", "end_line")
 
 
 @query

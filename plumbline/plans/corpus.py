@@ -10,8 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def templated(spark: SparkSession, sf_dir: str, templates: list[tuple[str, str]]) -> DataFrame:
-    """scripts (file_path, script_type, text): template number o_orderkey mod n, `{k}` replaced by the key."""
+def templated(spark: SparkSession, sf_dir: str, templates: list[tuple[str, str]], distinct: bool = True) -> DataFrame:
+    """scripts (file_path, script_type, text): template number o_orderkey mod n, `{k}` replaced by the key.
+
+    `distinct`: a template without a key ends in it, as a comment, so that no two texts are equal.
+    """
+    templates = [(kind, x if "{k}" in x or not distinct else x + " -- {k}") for kind, x in templates]
     t = (F.col("o_orderkey") % len(templates) + 1).cast("int")
     kinds, texts = F.array(*[F.lit(k) for k, _ in templates]), F.array(*[F.lit(x) for _, x in templates])
     key = F.col("o_orderkey").cast("string")
@@ -40,13 +44,13 @@ MAIN = [
 #: Statements of several lines: exemptions, comments, transactions, several statements a line.
 LINES = [
     ("dml", "-- lint-disable-next-line DML002\nDELETE FROM a{k};\nDELETE FROM b{k};"),
-    ("dml", "DELETE FROM a; -- lint-disable-line DML*, DDL001\n/* two\nlines */ UPDATE b SET x = 1; /* lint-disable * */ SELECT * FROM c"),
-    ("dml", "SELECT a FROM t WHERE b = NULL;\nSELECT NVL(a, 1) FROM t\nWHERE b <> NULL"),
+    ("dml", "DELETE FROM a{k}; -- lint-disable-line DML*, DDL001\n/* two\nlines */ UPDATE b SET x = 1; /* lint-disable * */ SELECT * FROM c"),
+    ("dml", "SELECT a FROM t{k} WHERE b = NULL;\nSELECT NVL(a, 1) FROM t\nWHERE b <> NULL"),
     ("ddl", "BEGIN;\nCREATE TABLE t{k} (id INT PRIMARY KEY);\nCOMMIT;\nSTART TRANSACTION;\nDROP INDEX i{k}"),
     ("ddl", "CREATE TABLE t{k} (id INT, n VARCHAR(10));\nALTER TABLE t{k} ADD CONSTRAINT pk_t PRIMARY KEY (id);\nCREATE TABLE u{k} (id INT PRIMARY KEY);\nALTER TABLE u{k} DROP PRIMARY KEY"),
     ("ddl", "CREATE TABLE bks_a{k} AS SELECT a FROM b;\n-- NOT_BACKUP\nCREATE TABLE c{k} AS SELECT a FROM b;\n\nCREATE TABLE d{k} AS SELECT a FROM b"),
     ("dml", "SELECT 'unterminated {k}"),
-    ("dml", "SELECT a FROM t LIMIT 5; -- RANDOM_ORDER"),
+    ("dml", "SELECT a FROM t{k} LIMIT 5; -- RANDOM_ORDER"),
 ]
 
 #: Names and indexes.
@@ -87,6 +91,70 @@ JOINS = [
     ("dml", "SELECT x FROM t WHERE i IN (SELECT a.i FROM a JOIN b ON a.i = b.i)"),
 ]
 
+#: Texts put together from parts: of each list the element that the key's next digit (in mixed base) names.
+READS = [
+    ["SELECT *", "SELECT a{k}", "SELECT a, b{k}"], [" FROM t{k}", " FROM (SELECT a, b FROM s{k})", " FROM t{k} x INNER JOIN u y ON x.i = y.i"],
+    ["", " WHERE 1 = 1", " WHERE a = {k}", " WHERE a = 1 OR b = {k}", " WHERE a = NULL"], ["", " LIMIT 5", " ORDER BY a ASC NULLS LAST LIMIT 5"], [" -- {k}"],
+]
+CHANGES = [
+    ["UPDATE t{k} SET a = 1", "DELETE FROM t{k}"], ["", " WHERE 'x' = 'x'", " WHERE a = {k}", " WHERE a = 1 OR b = {k}", " WHERE a IN (SELECT b FROM u{k})"], ["", " ORDER BY a ASC NULLS LAST", " GROUP BY a"],
+]
+SHAPES = [
+    ["", "WITH c{k} AS (SELECT 1) ", "WITH t0 AS (SELECT 1) "], ["SELECT t0.x FROM " + ", ".join(f"t{i}" for i in range(n + 1)) for n in range(9)], ["", " INNER JOIN z"],
+    ["", " WHERE CASE WHEN t0.a THEN 1 END = {k}", " WHERE CASE WHEN t0.a THEN CASE WHEN t0.b THEN 1 END END = {k}"], [" -- {k}"],
+]
+TABLES = [
+    ["CREATE TABLE t{x} (id INT PRIMARY KEY)", 'CREATE TABLE "a-{k}" (id INT PRIMARY KEY)', "CREATE TABLE t{k} (id INT PRIMARY KEY{c})", "CREATE TABLE order_{k} (id INT PRIMARY KEY)"],
+]
+
+
+def composed(spark: SparkSession, sf_dir: str, parts: list[list[str]], script_type: str = "dml") -> DataFrame:
+    """scripts of which each text is put together from parts. `{x}`: 55 + key mod 13 letters; `{c}`: key mod 14 text columns."""
+    k, text, base = F.col("o_orderkey"), F.lit(""), 1
+    for options in parts:
+        digit = (F.floor(k / base) % len(options) + 1).cast("int")
+        text, base = F.concat(text, F.element_at(F.array(*[F.lit(x) for x in options]), digit)), base * len(options)
+    columns = F.array_join(F.transform(F.sequence(F.lit(0), (k % 14).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit(", c"), i.cast("string"), F.lit(" TEXT"))).otherwise("")), "")
+    key = k.cast("string")
+    for name, value in (("{k}", key), ("{x}", F.repeat(F.lit("x"), (k % 13 + 55).cast("int"))), ("{c}", columns)):
+        text = F.replace(text, F.lit(name), value)
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("o/"), key, F.lit(".sql")).alias("file_path"), F.lit(script_type).alias("script_type"), text.alias("text"))
+
+
+#: Statements on which dialects differ.
+DIALECTS = [
+    "SELECT a FROM t{k} MINUS SELECT a FROM u", "SELECT e FROM emp{k} CONNECT BY PRIOR e = m START WITH e = 1", "SELECT `a` FROM `t{k}`", "SELECT a FROM t LIMIT {k}, 2", "SELECT {k} +",
+    'SELECT "x{k}" FROM a INNER JOIN b ON a.i = b.i', "SELECT a FROM t WHERE t.x = {k} AND t.y(+) = 1",
+]
+
+#: Mappers that do not parse, one for each category, and one that does.
+BROKEN = [
+    '<select id="s">SELECT \'x FROM t{k}</select>', '<select id="s"> </select>', '<select id="s">SELECT <include refid="none{k}"/> FROM WHERE</select>', '<select id="s">SELECT ${{a}} ${{b}} ${{c}} FROM</select>',
+    '<select id="s">{{call p{k}()}}</select>', '<select id="s">SELEC {k}</select>', '<select id="s">SELECT a FROM t{k}</select>',
+]
+
+
+def broken_mappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    texts = F.array(*[F.lit(x.replace("{{", "{").replace("}}", "}")) for x in BROKEN])
+    body = F.replace(F.element_at(texts, (k % len(BROKEN) + 1).cast("int")), F.lit("{k}"), k.cast("string"))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("m/"), k, F.lit(".xml")).alias("file_path"), F.concat(F.lit('<mapper namespace="m">'), body, F.lit("</mapper>")).alias("text"))
+
+
+def including_mappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapper for each order that includes a fragment of one of 50 other files; those include a fragment of one more. The statement
+    is key mod 5 lines below the top, and deletes without WHERE for every second key."""
+    k = F.col("o_orderkey")
+    s, g = k.cast("string"), (k % 50).cast("string")
+    query = F.concat(F.lit('<select id="q">SELECT <include refid="shared'), g, F.lit('.cols"/> FROM t WHERE id = '), s, F.lit("</select>"))
+    text = F.concat(F.lit('<mapper namespace="m'), s, F.lit('">'), F.repeat(F.lit("\n"), (k % 5).cast("int")), F.when(k % 2 == 0, F.concat(F.lit('<delete id="d">DELETE FROM u'), s, F.lit("</delete>"))).otherwise(query), F.lit("</mapper>"))
+    own = table(spark, sf_dir, "orders").select(F.concat(F.lit("m/"), s, F.lit(".xml")).alias("file_path"), text.alias("text"))
+    n = F.col("id").cast("string")
+    shared = spark.range(50).select(F.concat(F.lit("s/"), n, F.lit(".xml")).alias("file_path"), F.concat(F.lit('<mapper namespace="shared'), n, F.lit('"><sql id="cols">c'), n, F.lit(', <include refid="base.more"/></sql></mapper>')).alias("text"))
+    base = spark.range(1).select(F.lit("s/base.xml").alias("file_path"), F.lit('<mapper namespace="base"><sql id="more">d, e</sql></mapper>').alias("text"))
+    return own.unionByName(shared).unionByName(base)
+
+
 MAPPER = [
     '<mapper namespace="m{k}"><sql id="cols">id, name</sql><select id="all">SELECT <include refid="cols"/> FROM users</select></mapper>',
     '<mapper namespace="m{k}">\n<select id="find">SELECT id FROM users\n<where><if test="a">AND a = #{{a}}</if><if test="b">AND b = #{{b}}</if></where></select></mapper>',

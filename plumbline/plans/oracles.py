@@ -36,7 +36,7 @@ _MAIN = [
     (6, "DML109", "warning", 1, 1), (7, "DML101", "warning", 1, 1), (8, "DML108", "warning", 1, 1), (9, "DML111", "warning", 1, 1), (10, "DML106", "warning", 1, 1), (12, "DDL002", "warning", 1, 1), (13, "DDL001", "error", 1, 1),
     (14, "DML105", "warning", 1, 1), (14, "gaussdb:GDML005", "error", 1, 1), (14, "gaussdb:GDML005", "error", 1, 1), (15, "PARSE", "warning", 1, 1),
 ]
-ORACLES["violations"] = _facts(16, ["rule_id", "severity", "line", "end_line"], _MAIN, _HIT)
+ORACLES["violations"] = ORACLES["violations_repeated"] = _facts(16, ["rule_id", "severity", "line", "end_line"], _MAIN, _HIT)
 
 _OR = "OR usually prevents efficient index utilization; prefer IN (...) for same-column values, UNION ALL for cross-column disjunctions, or splitting the query."
 _DEFAULT = [
@@ -209,7 +209,82 @@ _MV = [
 ]
 ORACLES["mapper_variants"] = _facts(6, ["statement_id", "k", "sql"], _MV, {"k": "INTEGER"}, lead="")
 ORACLES["mapper_violations"] = _facts(6, ["rule_id", "line"], [(5, "DML002", 1)], {"line": "BIGINT"}, _MPATH)
-ORACLES["mapper_failures"] = "SELECT 'none' AS category, CAST(0 AS BIGINT) AS n WHERE false"
+ORACLES["mapper_failures"] = """
+WITH b AS (SELECT 'm/' || o_orderkey || '.xml#m.s' AS id, CASE o_orderkey % 7 WHEN 0 THEN 'tokenize' WHEN 1 THEN 'empty' WHEN 2 THEN 'missing include' WHEN 3 THEN 'dynamic substitution' WHEN 4 THEN 'procedure call' ELSE 'syntax' END AS category
+  FROM orders WHERE o_orderkey % 7 < 6)
+SELECT category, count(*) AS n, array_to_string(list_slice(list_sort(list(id)), 1, 3), ', ') AS examples FROM b GROUP BY category
+"""
+_PARTS = lambda *sizes: ", ".join(f"(o_orderkey // {base}) % {n} AS {name}" for name, n, base in _digits(sizes))
+
+
+def _digits(sizes):
+    base = 1
+    for name, n in sizes:
+        yield name, n, base
+        base *= n
+
+
+def _fires(parts: str, rules: list[tuple[str, str]], extra: str = "", columns: str = "") -> str:
+    """A row for each order and rule whose condition on the order's parts holds."""
+    each = " UNION ALL ".join(f"SELECT k, '{r}' AS rule_id{extra} FROM g WHERE {c}" for r, c in rules)
+    return f"WITH g AS (SELECT o_orderkey AS k, {parts} FROM orders) SELECT 'o/' || k || '.sql' AS file_path, rule_id, CAST(1 AS BIGINT) AS line{columns} FROM ({each})"
+
+
+ORACLES["rules_on_reads"] = _fires(
+    _PARTS(("p", 3), ("f", 3), ("w", 5), ("l", 3)),
+    [("DML001", "p = 0"), ("DML004", "f = 1"), ("DML005", "f = 2 AND p > 0"), ("DML101", "f = 2 AND p > 0"), ("DML108", "w = 1"), ("DML111", "w = 3"), ("DML103", "w = 4"), ("DML007", "l = 1")],
+)
+ORACLES["rules_on_changes"] = _fires(
+    _PARTS(("v", 2), ("w", 5), ("t", 3)),
+    [("DML002", "w = 0"), ("DML108", "w = 1"), ("DML111", "w = 3"), ("gaussdb:GDML004", "v = 0 AND w = 4"), ("gaussdb:GDML002", "v = 0 AND t > 0"), ("gaussdb:GDML003", "v = 1 AND t > 0")],
+)
+ORACLES["rules_on_shapes"] = _fires(_PARTS(("c", 3), ("n", 9), ("j", 2), ("e", 3)), [("DML102", "c = 1"), ("DML110", "n + 1 + j > 5"), ("DML006", "j = 1"), ("DML101", "j = 1"), ("DML107", "e = 2")])
+ORACLES["rules_on_lengths"] = """
+SELECT 'o/' || o_orderkey || '.sql' AS file_path, 'gaussdb:GPERF001' AS rule_id, 'statement is ' || n || ' bytes, exceeding the recommended 5120 bytes; consider splitting it' AS message
+FROM (SELECT o_orderkey, 28 + 4990 + o_orderkey % 200 AS n FROM orders) WHERE n > 5120
+"""
+ORACLES["rules_on_tables"] = """
+WITH g AS (SELECT o_orderkey AS k, o_orderkey % 4 AS t, 't' || repeat('x', CAST(55 + o_orderkey % 13 AS INTEGER)) AS name, o_orderkey % 14 AS c FROM orders)
+SELECT 'o/' || k || '.sql' AS file_path, rule_id, message FROM (
+  SELECT k, 'gaussdb:GNAM004' AS rule_id, 'object name ''' || name || ''' is ' || length(name) || ' bytes, exceeding the 63-byte limit' AS message FROM g WHERE t = 0 AND length(name) > 63
+  UNION ALL SELECT k, 'gaussdb:GNAM001', 'object name ''"a-' || k || '"'' must contain only letters, digits and underscores' FROM g WHERE t = 1
+  UNION ALL SELECT k, 'gaussdb:GNAM002', 'object name ''"a-' || k || '"'' must not be defined with quotes' FROM g WHERE t = 1
+  UNION ALL SELECT k, 'DDL007', 'Table name ''a-' || k || ''' contains invalid character ''-'' (only lowercase letters, digits, and underscores are allowed); table names must contain only lowercase letters, digits, and underscores, and must not start with a digit' FROM g WHERE t = 1
+  UNION ALL SELECT k, 'gaussdb:GTYP001', 'table ''t' || k || ''' has ' || c || ' large fields (max 8): ' || array_to_string(list_transform(range(1, c + 1), lambda i: 'c' || i), ', ') FROM g WHERE t = 2 AND c > 8)
+"""
+ORACLES["dialect_fallback"] = """
+SELECT 'o/' || o_orderkey || '.sql' AS file_path, dialect, CASE WHEN t = 4 OR (t = 6 AND dialect = 'mysql') THEN 'PARSE_ERROR' ELSE 'SELECT' END AS kind,
+  CASE WHEN t = 4 OR (t = 6 AND dialect = 'mysql') THEN NULL ELSE t = 0 END AS is_except, CASE WHEN t = 4 OR (t = 6 AND dialect = 'mysql') THEN NULL ELSE t = 5 AND dialect <> 'mysql' END AS unqualified
+FROM (SELECT o_orderkey, o_orderkey % 7 AS t FROM orders), (VALUES ('postgresql'), ('mysql'), ('oracle'), ('gaussdb')) d(dialect)
+"""
+ORACLES["check_diff"] = """
+WITH o AS (SELECT o_orderkey AS k, 'o/' || o_orderkey || '.sql' AS file_path, o_orderkey % 4 + 1 AS h, o_orderkey % 7 = 0 AS is_new FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT file_path, rule_id, CAST(n AS BIGINT) AS line FROM o, (VALUES ('DML002', 1), ('DML002', 2), ('DML001', 3)) v(rule_id, n) WHERE is_new OR n = h
+UNION ALL SELECT file_path, 'FILE002', CAST(1 AS BIGINT) FROM o WHERE k % 5 = 0
+"""
+ORACLES["mapper_includes"] = """
+SELECT 'm/' || o_orderkey || '.xml' AS file_path, 'm' || o_orderkey || '.' || CASE WHEN o_orderkey % 2 = 0 THEN 'd' ELSE 'q' END AS statement_id, CAST(o_orderkey % 5 + 1 AS BIGINT) AS raw_xml_line,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'DELETE FROM u' || o_orderkey ELSE 'SELECT c' || o_orderkey % 50 || ', d, e FROM t WHERE id = ' || o_orderkey END AS sql_all FROM orders
+"""
+ORACLES["mapper_lines"] = "SELECT 'm/' || o_orderkey || '.xml' AS file_path, 'DML002' AS rule_id, CAST(o_orderkey % 5 + 1 AS BIGINT) AS line, CAST(o_orderkey % 5 + 1 AS BIGINT) AS end_line FROM orders WHERE o_orderkey % 2 = 0"
+ORACLES["bound_parameters"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_custkey % 4 AS INTEGER) AS placeholders, c_custkey % 3 = 0 AS has_fixture,
+  array_to_string(list_transform(range(1, c_custkey % 4 + 1), lambda i: CASE WHEN c_custkey % 3 <> 0 OR i > 2 THEN 'null' WHEN i = 1 THEN 'v' || c_custkey ELSE 'null' END), ',') AS bound FROM customer
+"""
+ORACLES["select_accessors"] = """
+SELECT 'o/' || o_orderkey || '.sql' AS file_path, CASE o_orderkey % 4 WHEN 0 THEN 'a, b DESC' WHEN 1 THEN 'a ASC NULLS LAST' ELSE '' END AS order_by_text, o_orderkey % 4 = 0 AS order_by_without_direction, o_orderkey % 4 = 0 AS order_by_without_nulls,
+  o_orderkey % 4 = 2 AS has_cross_join, o_orderkey % 4 = 3 AS join_without_condition, o_orderkey % 4 >= 2 AS uses_a FROM orders
+"""
+ORACLES["user_rules"] = """
+SELECT 'o/' || o_orderkey || '.sql' AS file_path, 'LOCAL1' AS rule_id, 'LIMIT of ' || 's' || o_orderkey AS message, CAST(1 AS BIGINT) AS line FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'o/' || o_orderkey || '.sql', 'LOCAL2', 'Rule script not found: rules/none.sql', NULL FROM orders
+UNION ALL SELECT 'o/' || o_orderkey || '.sql', 'LOCAL3', 'Rule execution error', NULL FROM orders
+"""
+ORACLES["explain_tree"] = _facts(3, ["tree"], [
+    (0, '[1] CREATE_TABLE  (line 1, end_line 1, col 1)\n  table: t{k}\n  has_primary_key: true\n  primary_key_columns: ["id"]\n  columns:\n    - id INT  [pk]\n    - n VARCHAR(10)  [not_null]\n      default: \'x\''),
+    (1, '[1] SELECT  (line 1, end_line 1, col 1)\n  select 0\n    projection: ["a{k}", "b.c AS d"]\n    flags: is_distinct, has_limit, has_order_by\n    tables: ["t"]\n    joins:\n      - LEFT b ON t.i = b.i\n    where: a > 1\n    order_by: a DESC'),
+    (2, "[1] DELETE  (line 2, end_line 2, col 1)\n  table: t{k}\n  where: (none)\n[2] PARSE_ERROR  (line 3, end_line 3, col 1)\nComments:\n  [LINE] line 1: note"),
+])
 _E = ["left_table", "left_column", "right_table", "right_column", "join_type"]
 _EDGES = [(0, "orders", "customer_id", "customer", "id", "INNER"), (1, "customer", "id", "orders", "customer_id", "LEFT"), (2, "lineitem", "part_id", "part", "id", "IMPLICIT"), (4, "nation", "region_id", "region", "region_id", "INNER")]
 ORACLES["relation_edges"] = _facts(6, _E, _EDGES)
@@ -223,11 +298,11 @@ ORACLES["relation_stats"] = "SELECT CAST(3 AS BIGINT) AS relation_count, CAST(co
 ORACLES["relation_changed"] = _facts(6, ["left_column", "right_column"], [(t, a, b) for t, _, a, _, b, _ in _EDGES], extra="WHERE o_orderkey % 2 = 0")
 
 _RM = [
-    (0, "1", "delete", 2, 2, "DELETE FROM a{k}"), (0, "2", "delete", 3, 3, "DELETE FROM b{k}"), (1, "1", "delete", 1, 2, "DELETE FROM a; -- lint-disable-line DML*, DDL001\n/* two"),
-    (1, "2", "update", 3, 3, "lines */ UPDATE b SET x = 1; /* lint-disable * */ SELECT * FROM c"), (1, "3", "select", 3, 3, "lines */ UPDATE b SET x = 1; /* lint-disable * */ SELECT * FROM c"), (2, "1", "select", 1, 1, "SELECT a FROM t WHERE b = NULL"),
+    (0, "1", "delete", 2, 2, "DELETE FROM a{k}"), (0, "2", "delete", 3, 3, "DELETE FROM b{k}"), (1, "1", "delete", 1, 2, "DELETE FROM a{k}; -- lint-disable-line DML*, DDL001\n/* two"),
+    (1, "2", "update", 3, 3, "lines */ UPDATE b SET x = 1; /* lint-disable * */ SELECT * FROM c"), (1, "3", "select", 3, 3, "lines */ UPDATE b SET x = 1; /* lint-disable * */ SELECT * FROM c"), (2, "1", "select", 1, 1, "SELECT a FROM t{k} WHERE b = NULL"),
     (2, "2", "select", 2, 3, "SELECT NVL(a, 1) FROM t\nWHERE b <> NULL"), (3, "1", "ddl", 2, 2, "CREATE TABLE t{k} (id INT PRIMARY KEY)"), (3, "2", "ddl", 5, 5, "DROP INDEX i{k}"), (4, "1", "ddl", 1, 1, "CREATE TABLE t{k} (id INT, n VARCHAR(10))"),
     (4, "2", "ddl", 2, 2, "ALTER TABLE t{k} ADD CONSTRAINT pk_t PRIMARY KEY (id)"), (4, "3", "ddl", 3, 3, "CREATE TABLE u{k} (id INT PRIMARY KEY)"), (4, "4", "ddl", 4, 4, "ALTER TABLE u{k} DROP PRIMARY KEY"),
-    (5, "1", "ddl", 1, 2, "CREATE TABLE bks_a{k} AS SELECT a FROM b;\n-- NOT_BACKUP"), (5, "2", "ddl", 3, 4, "CREATE TABLE c{k} AS SELECT a FROM b"), (5, "3", "ddl", 5, 5, "CREATE TABLE d{k} AS SELECT a FROM b"), (7, "1", "select", 1, 1, "SELECT a FROM t LIMIT 5; -- RANDOM_ORDER"),
+    (5, "1", "ddl", 1, 2, "CREATE TABLE bks_a{k} AS SELECT a FROM b;\n-- NOT_BACKUP"), (5, "2", "ddl", 3, 4, "CREATE TABLE c{k} AS SELECT a FROM b"), (5, "3", "ddl", 5, 5, "CREATE TABLE d{k} AS SELECT a FROM b"), (7, "1", "select", 1, 1, "SELECT a FROM t{k} LIMIT 5; -- RANDOM_ORDER"),
 ]
 _RMK = [(t, "o/{k}.sql#" + i, *rest) for t, i, *rest in _RM]
 ORACLES["replay_manifest"] = _facts(8, ["id", "type", "line", "end_line", "sql"], _RMK, {"line": "BIGINT", "end_line": "BIGINT"}, lead="")

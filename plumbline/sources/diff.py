@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,11 +45,22 @@ def _git(repo: str, *args: str) -> str:
     return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True, text=True).stdout
 
 
+def _headers(command: list[str]) -> Iterator[tuple[str, int, str]]:
+    """(file, line number, line) of a diff's header and hunk lines, read as the process writes them; each file is a diff of its own."""
+    with subprocess.Popen(command, stdout=subprocess.PIPE, text=True, encoding="utf-8", errors="replace") as running:
+        file = 0
+        for i, line in enumerate(running.stdout):
+            file += line.startswith("diff --git ")
+            if line.startswith(("diff --git ", "new file mode", "+++ b/", "@@ ")):
+                yield str(file), i, line.rstrip("\n")
+    if running.returncode:
+        raise subprocess.CalledProcessError(running.returncode, command)
+
+
 def git_hunks(spark: SparkSession, repo: str, base: str, patterns: tuple[str, ...] = ("*.sql", "*.xml")) -> DataFrame:
     """Hunks of the working tree against the merge base, with untracked files as new."""
     start = _git(repo, "merge-base", validate_base(base), "HEAD").strip()
-    text = _git(repo, "diff", "--unified=0", "--diff-filter=d", start, "--", *patterns)
-    rows = [("git", i, x) for i, x in enumerate(text.split("\n"))]
+    rows = list(_headers(["git", "-C", repo, "diff", "--unified=0", "--diff-filter=d", start, "--", *patterns]))
     hunks = parse_diff(spark.createDataFrame(rows, "diff_id string, line_no long, line string")).drop("diff_id")
     extra = [p for p in _git(repo, "ls-files", "--others", "--exclude-standard", "--", *patterns).split("\n") if p]
     return hunks.unionByName(spark.createDataFrame([(p, "new", 1, 1 << 40, True) for p in extra], schemas.HUNKS))
@@ -56,8 +68,18 @@ def git_hunks(spark: SparkSession, repo: str, base: str, patterns: tuple[str, ..
 
 def git_show(spark: SparkSession, repo: str, base: str, paths: list[str]) -> DataFrame:
     """(path, text) at the base; text is null where the file is missing there."""
-    rows = []
+    asked = "".join(f"{validate_base(base)}:{p}\n" for p in paths)
+    out = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input=asked.encode(), capture_output=True, check=True).stdout
+    rows, at = [], 0
     for p in paths:
-        done = subprocess.run(["git", "-C", repo, "show", f"{validate_base(base)}:{p}"], capture_output=True, text=True)
-        rows.append((p, done.stdout if done.returncode == 0 else None))
+        stop = out.index(b"\n", at)
+        head = out[at:stop].decode().rsplit(" ", 2)
+        at = stop + 1
+        if head[-1] == "missing" or head[-2] != "blob":
+            rows.append((p, None))
+            at += int(head[-1]) + 1 if head[-1].isdigit() else 0
+            continue
+        size = int(head[-1])
+        rows.append((p, out[at : at + size].decode("utf-8", "replace")))
+        at += size + 1
     return spark.createDataFrame(rows, "path string, text string")

@@ -14,9 +14,10 @@ SQL_FILE = r"(?i)\.(sql|ddl|dml)$"
 EXCLUDED = (".git", "target", "node_modules", "vendor")
 
 
-def glob_regex(glob: str) -> str:
-    """`**/` any folders, `*` within a name, `?`, `{a,b}` and `[..]`; anchored to a path or to its end after a slash."""
+def glob_regex(glob: str, within_name: bool = True) -> str:
+    """`**/` any folders, `*` and `?` (within a name, or over slashes too), `{a,b}` and `[..]`; anchored to a path or to its end after a slash."""
     out, i = "", 0
+    one = "[^/]" if within_name else "."
     while i < len(glob):
         c = glob[i]
         if glob.startswith("**/", i):
@@ -25,7 +26,7 @@ def glob_regex(glob: str) -> str:
         if glob.startswith("**", i):
             out, i = out + ".*", i + 2
             continue
-        out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|" if "{" in glob[:i] and "}" in glob[i:] else ","}.get(c, c if c in "[]" else re.escape(c))
+        out += {"*": one + "*", "?": one, "{": "(?:", "}": ")", ",": "|" if "{" in glob[:i] and "}" in glob[i:] else ","}.get(c, c if c in "[]" else re.escape(c))
         i += 1
     return f"(?:^|/){out}$"
 

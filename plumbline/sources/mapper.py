@@ -6,14 +6,16 @@ pass over the files and are looked up by name in a second.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import os
 import re
 import xml.parsers.expat
 from collections.abc import Iterator
 from xml.sax import saxutils
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, _parse_datatype_string
@@ -22,9 +24,12 @@ from plumbline import schemas
 from plumbline.functions.lexer import normalize_placeholders, repair_artifacts
 from plumbline.operators.parse import spread
 from plumbline.plans.parser import parse
+from plumbline.sources import files as files_
 
 STATEMENTS = ("select", "insert", "update", "delete")
 MAX_IFS, INCLUDE_DEPTH, PROBE_BYTES = 8, 10, 50_000
+#: Examples of a failure's category, and parts of it that are ordered apart.
+EXAMPLES, EXAMPLE_PARTS = 3, 64
 
 
 class Node:
@@ -393,5 +398,60 @@ def failures(statements: DataFrame) -> DataFrame:
         F.when(F.col("ast.parse_error").isNotNull(), "tokenize").when(F.trim("text") == "", "empty").when(F.contains("text", F.lit("missing include")), "missing include")
         .when(F.col("has_dollar"), "dynamic substitution").when(F.col("text").rlike(r"(?i)\bCALL\b|\{\s*call"), "procedure call").otherwise("syntax")
     )
-    sample = F.slice(F.array_sort(F.collect_list(F.concat_ws("#", "file_path", "statement_id"))), 1, 3)
-    return bad.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.array_join(sample, ", ").alias("examples"))
+    found = bad.select(category.alias("category"), F.concat_ws("#", "file_path", "statement_id").alias("id"))
+    counts = found.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    # the first three ids of a category, kept per task before they meet
+    nth = F.row_number().over(Window.partitionBy("category", "part").orderBy("id"))
+    parts = found.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(EXAMPLE_PARTS))).withColumn("nth", nth).where(F.col("nth") <= EXAMPLES)
+    first = parts.groupBy("category").agg(F.array_join(F.slice(F.array_sort(F.collect_list("id")), 1, EXAMPLES), ", ").alias("examples"))
+    return counts.join(first, "category").select("category", "n", "examples")
+
+
+def _prefixes(path) -> Column:
+    """The folders above a path, from the outermost."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda k: F.array_join(F.slice(parts, 1, k + 1), "/"))
+    return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
+
+
+def scan(spark: SparkSession, root: str, paths: tuple[str, ...] = (".",), patterns: tuple[str, ...] = ("**/*Mapper.xml", "**/*.xml"), exclude_dirs: tuple[str, ...] = files_.EXCLUDED) -> DataFrame:
+    """file_path, content, mtime, size, entry: mapper files below `root` that an entry of `paths` names.
+
+    An entry is a folder (relative to root, or absolute), whose XML files count where a pattern fits their path inside it, or a glob over
+    paths inside root: of a folder that it fits the same holds, and an XML file that it fits counts itself. A file that several
+    entries name is there once, with the first of them as `entry`.
+    """
+    glob = lambda g: files_.glob_regex(g, within_name=False).replace("(?:^|/)", "^", 1)
+    fits = lambda inside: functools.reduce(lambda a, b: a | b, [inside.rlike(glob(p)) for p in patterns])
+    base = os.path.abspath(root) if "://" not in root else root.rstrip("/")
+    plain = lambda c: F.regexp_replace(c, r"^file:(//)?", "")
+    found = None
+    for k, entry in enumerate(paths):
+        folder = entry if os.path.isabs(entry) or any(c in entry for c in "*?[{") else base if entry in (".", "") else f"{base}/{entry.strip('/')}"
+        is_glob = any(c in entry for c in "*?[{")
+        start = base if is_glob else folder.rstrip("/")
+        if not is_glob and "://" not in start and not os.path.exists(start):
+            continue
+        files = files_.scan(spark, start, r"\.xml$", ())
+        inside = F.substring(plain(F.col("file_path")), len(start) + 2, 1 << 20)
+        files = files.withColumn("inside", inside)
+        if exclude_dirs:
+            files = files.where(~F.arrays_overlap(_names(F.col("inside")), F.array(*[F.lit(d) for d in exclude_dirs])))
+        if is_glob:
+            whole = glob(entry)
+            below = F.exists(_prefixes(F.col("inside")), lambda d: d.rlike(whole) & fits(F.substring(F.col("inside"), F.length(d) + 2, F.lit(1 << 20))))
+            files = files.where(F.col("inside").rlike(whole) | below)
+        else:
+            files = files.where(fits(F.col("inside")))
+        named = files.drop("inside").withColumn("entry", F.lit(k))
+        found = named if found is None else found.unionByName(named)
+    if found is None:
+        return spark.createDataFrame([], "file_path string, content binary, mtime timestamp, size long, entry int")
+    first = found.groupBy("file_path").agg(F.min("entry").alias("entry"))
+    return found.join(first, ["file_path", "entry"], "left_semi")
+
+
+def _names(path) -> Column:
+    """Folder names of a path."""
+    parts = F.split(path, "/")
+    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
