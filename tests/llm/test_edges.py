@@ -44,7 +44,7 @@ def test_language_values(edge, empty):
     got = {r.doc_id: r for r in langid.identify(edge).collect()}
     assert got[3].lang_pred == got[4].lang_pred == got[6].lang_pred == "und" and got[6].score == 0
     assert got[1].lang_pred == "en"
-    none = langid.identify(edge, langid.Model(empty.selectExpr("lang", "cast(1 as int) code", "1L n").toPandas())).collect()
+    none = langid.identify(edge, langid.Model(empty.selectExpr("lang", "1L code", "1L n").toPandas())).collect()
     assert all(r.lang_pred == "und" and r.accepted for r in none)
 
 

@@ -167,13 +167,60 @@ def test_language_held_out(spark, sf):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97 and sum(r.accepted for r in got) / len(got) > 0.99
 
 
-def test_kneser_ney_is_a_distribution():
-    sym, _ = langid.symbols(["the cat sat on the mat and the dog ran"])
+def test_kneser_ney_against_brute_force():
+    """The sorted arrays give what nested counting gives, and each context's probabilities sum to one."""
+    text = "the cat sat on the mat and the dog ran über"
+    sym, _ = langid.symbols([text])
     code, n = np.unique(langid.codes(sym)[0], return_counts=True)
     model = langid.KneserNey(code, n)
-    for context in (0, (20 << 6) | 8, 5):
-        total = np.exp(model.log_probability((context << 6) + np.arange(64))).sum()
-        assert abs(total - 1) < 1e-9
+    every = np.arange(1 << langid.BITS, dtype=np.uint64)
+    for context in (0, (ord("t") << 16) | ord("h"), ord("e")):
+        total = np.exp(model.log_probability((np.uint64(context) << np.uint64(16)) + every)).sum()
+        assert abs(total - 1) < 1e-5
+    words = [int(x) for x in sym]
+    grams = []
+    for i in range(len(words)):
+        own = [words[i]]
+        for k in (1, 2, 3):
+            own.append(words[i - k] if i >= k and (k == 1 or own[-1] != 0) else 0)
+        if own[0] or own[1]:
+            grams.append(tuple(own))
+    tables = [Counter(grams)]
+    for k in (3, 2, 1):
+        tables.insert(0, Counter(g[:k] for g in tables[0]))
+
+    def probability(g, k):
+        if k == 0:
+            return 1 / (1 << 16)
+        t = tables[k - 1]
+        once, twice = sum(v == 1 for v in t.values()), sum(v == 2 for v in t.values())
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        same = {x: v for x, v in t.items() if x[1:] == g[1:k]}
+        if not same:
+            return probability(g, k - 1)
+        total = sum(same.values())
+        return max(same.get(g[:k], 0) - d, 0) / total + d * len(same) / total * probability(g, k - 1)
+
+    for g in [*grams[:20], (ord("z"), ord("h"), ord("t"), 0), (ord("é"), ord("a"), 0, 0)]:
+        one = np.array([sum(x << (16 * i) for i, x in enumerate(g))], np.uint64)
+        assert np.exp(model.log_probability(one)[0]) == pytest.approx(probability(g, 4), rel=1e-4)
+
+
+def test_scripts_do_not_mix(spark):
+    """Languages in one script beyond ASCII, learnt from different words; what none of them writes is rejected."""
+    rng = np.random.default_rng(2)
+    words = {"aa": "привет мир дом река сад вечер окно".split(), "bb": "кошка рыба стол лампа книга ветер".split(), "cc": "日本 東京 大学 学校 山川".split(), "dd": "中国 北京 文学 天地 人民".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 30)), lang) for i, lang in enumerate(list(words) * 60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names, _, accepted = model.predict([" ".join(rng.choice(w, 20)) for w in words.values()] + ["แม่น้ำ ภูเขา ทะเล " * 8, "the quiet house by the river " * 8])
+    assert names[:4] == list(words) and accepted.tolist() == [True] * 4 + [False] * 2
+
+
+def test_models_are_bounded(spark, docs):
+    whole, part = langid.train(docs), langid.train(docs, 8000)
+    sizes = lambda m: sum(len(x.grams[-1][0]) for x in m.models)
+    assert sizes(part) <= 8000 < sizes(whole)
+    assert part.predict(["the and of to in is that was for it with on the"])[0] == ["en"]
 
 
 def test_strange_text_is_rejected(spark, docs):
