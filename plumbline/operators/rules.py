@@ -334,7 +334,8 @@ def _problem(spark, rule: Rule) -> str:
     empty = spark.createDataFrame([], f"script_type string, text string, ast {schemas.AST}").selectExpr("text", "ast.statements statements", "ast.comments comments", "get(ast.statements, 0) s")
     empty = empty.selectExpr("*", "get(s.selects, 0) r", "s.selects q")
     try:
+        empty.selectExpr(rule.expression())
         empty.selectExpr(f"transform({rule.expression()}, h -> named_struct('m', cast(h.message as string), 'l', cast(h.line as bigint), 'c', cast(h.`column` as bigint))) hits").schema  # noqa: B018
     except (AnalysisException, ParseException) as e:
-        return str(e).split("\n")[0]
+        return str(e).strip().split("\n")[0]
     return ""

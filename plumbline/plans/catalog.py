@@ -341,7 +341,7 @@ def placeholder_probe(spark, sf):
     """Placeholders, longest IN list, CREATE TABLE AS."""
     n = (F.col("c_custkey") % 5 + 1).cast("int")
     marks = F.array_join(F.array_repeat(F.lit("?"), n), ", ")
-    sql = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("CREATE TABLE x AS ")).otherwise(F.lit("")), F.lit("SELECT a FROM t WHERE a = ? AND b = '?' AND c IN ("), marks, F.lit(") -- ?"))
+    sql = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("CREATE TABLE x (a) AS ")).otherwise(F.lit("")), F.lit("SELECT a FROM t WHERE a = ? AND b = '?' AND c IN ("), marks, F.lit(") -- ?"))
     return replay.probe(table(spark, sf, "customer").select("c_custkey", sql.alias("sql"))).select("c_custkey", "placeholders", "in_params", "ctas")
 
 
@@ -552,6 +552,27 @@ def rollback_sql(spark, sf):
     return rollback.pairs(_asts(spark, sf, templates), rollback.Options(dialect="postgresql")).select("file_path", "rollback")
 
 
+@query
+def rollback_texts(spark, sf):
+    """Whole backup and rollback texts in three dialects."""
+    asts = _asts(spark, sf, [("ddl", "DROP TABLE t{k}"), ("ddl", "ALTER TABLE t{k} DROP COLUMN c"), ("dml", "TRUNCATE TABLE t{k}"), ("dml", "DELETE FROM t{k} WHERE a = 1")])
+    out = None
+    for dialect in ("mysql", "postgresql", "gaussdb"):
+        found = rollback.pairs(asts, rollback.Options(dialect=dialect)).select("file_path", F.lit(dialect).alias("dialect"), F.rtrim("backup", F.lit("\n")).alias("backup_sql"), F.rtrim("rollback", F.lit("\n")).alias("rollback_sql"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query
+def rollback_replace(spark, sf):
+    """REPLACE as a kind of its own."""
+    asts = _asts(spark, sf, [("dml", "REPLACE INTO t (id, n) VALUES ({k}, 'x'), (2, 'y')"), ("dml", "REPLACE INTO u (id) VALUES ({k})")])
+    o = rollback.Options(dialect="postgresql", replace_kind=True, primary_keys=(("t", ("id",)),))
+    found = rollback.pairs(asts, o)
+    rows = F.regexp_extract("backup", r"SELECT \* FROM ([^;]*);", 1)
+    return found.select("file_path", "stmt_kind", rows.alias("old_rows"), "partial", "reliable", "requires_lock", F.element_at(F.split("warnings", "; "), 1).alias("warning"))
+
+
 @query
 def rollback_names(spark, sf):
     """Numbers and backup names over the whole corpus."""

@@ -368,6 +368,49 @@ ORACLES["rollback_pairs"] = _facts(16, _RB, _RBROWS, _RBT)
 ORACLES["rollback_sql"] = _facts(5, ["rollback"], [(0, 'DROP TABLE IF EXISTS "T{k}";'), (1, 'ALTER TABLE "t" DROP COLUMN "x{k}";\nALTER TABLE "t" RENAME COLUMN "b" TO "a";\nALTER TABLE "t" DROP CONSTRAINT "fk";'), (2, 'ALTER TABLE "u{k}" RENAME TO "t";'), (3, 'DROP VIEW IF EXISTS "v{k}";'), (4, 'DROP INDEX IF EXISTS "i{k}";')])
 # a name all in upper case is folded: T{k} becomes t{k}
 ORACLES["rollback_sql"] = ORACLES["rollback_sql"].replace('"T{k}"', '"t{k}"')
+# texts of backup and rollback by kind; T: table, B: backup, S: shadow, O: old copy (all quoted), N: the bare name
+_PG_LIKE = "(LIKE {x} INCLUDING DEFAULTS INCLUDING CONSTRAINTS INCLUDING INDEXES INCLUDING COMMENTS INCLUDING GENERATED)"
+
+
+def _rollback_texts(mysql: bool) -> list[tuple[int, str, str]]:
+    q = "`" if mysql else '"'
+    like = lambda x: f"LIKE {x}" if mysql else _PG_LIKE.replace("{x}", x)
+    schema = "DATABASE()" if mysql else "current_schema()"
+    table = f"  SELECT 1 FROM information_schema.tables\n  WHERE table_schema={schema} AND table_name='@N'\n)"
+    check = "-- schema check: table exists\n" + (f"SELECT IF(EXISTS(\n{table}, 1, 0)" if mysql else f"SELECT EXISTS(\n{table}") + f" AS {q}check_table_exists{q};\n-- schema check: row count\nSELECT COUNT(*) AS {q}check_row_count{q} FROM @T;\n"
+    part = f"SELECT partition_method AS {q}check_partition{q}\nFROM information_schema.partitions\nWHERE table_schema=DATABASE() AND table_name='@N';\n" if mysql else f"SELECT partition_strategy AS {q}check_partition{q}\nFROM pg_partitions\nWHERE schemaname=current_schema() AND tablename='@N';\n"
+    check_part = "-- partition check: rows mean a partitioned table\n" + part
+    copy = lambda where: ("FLUSH TABLES WITH READ LOCK;\n" if mysql else "LOCK TABLE @T IN ACCESS SHARE MODE;\n") + f"DROP TABLE IF EXISTS @B;\nCREATE TABLE @B {like('@T')};\nINSERT INTO @B SELECT * FROM @T{where};" + ("\nUNLOCK TABLES;" if mysql else "")
+    off, on = ("SET FOREIGN_KEY_CHECKS=0;\n", "\nSET FOREIGN_KEY_CHECKS=1;") if mysql else ("", "")
+    rebuild = f"-- rebuilt from the backup\n{off}CREATE TABLE @T {like('@B')};\nINSERT INTO @T SELECT * FROM @B;{on}"
+    switch = f"-- atomic switch: the table is kept as its _old copy\n{off}DROP TABLE IF EXISTS @O;\nDROP TABLE IF EXISTS @S;\nCREATE TABLE @S LIKE @B;\nINSERT INTO @S SELECT * FROM @B;\nRENAME TABLE @T TO @O, @S TO @T;{on}\n-- after a check, cleanup drops @O"
+    inside = f"-- inside a transaction\nDROP TABLE IF EXISTS @T;\nCREATE TABLE @T {like('@B')};\nINSERT INTO @T SELECT * FROM @B;"
+    back = "INSERT INTO @T SELECT * FROM @B;"
+    full = f"{check}\n{check_part}\n"
+    return [(0, f"{check}\n{copy('')}", full + rebuild), (1, f"{check}\n{copy('')}", full + (switch if mysql else inside)), (2, copy(""), back), (3, copy(" WHERE a = 1"), back)]
+
+
+def _named(column: str, q: str) -> str:
+    """The text with its names filled in; four digits at least in numbers."""
+    number = "lpad(CAST(seq AS VARCHAR), CAST(greatest(4, length(CAST(seq AS VARCHAR))) AS INTEGER), '0')"
+    old = "lpad(CAST(seq AS VARCHAR), 4, '0')"
+    names = {"@T": "'t' || k", "@B": f"'bks_t' || k || '_20240101_' || {number}", "@S": f"'_rb_' || {number} || '_t' || k", "@O": f"'t' || k || '_old_' || {old}"}
+    for mark, name in names.items():
+        column = f"replace({column}, '{mark}', '{q}' || {name} || '{q}')"
+    return f"replace({column}, '@N', 't' || k)"
+
+
+def _dialect_texts(dialect: str) -> str:
+    values = ", ".join(f"({t}, {_v(b)}, {_v(r)})" for t, b, r in _rollback_texts(dialect == "mysql"))
+    q = "`" if dialect == "mysql" else '"'
+    return f"SELECT 'o/' || k || '.sql' AS file_path, '{dialect}' AS dialect, {_named('b', q)} AS backup_sql, {_named('r', q)} AS rollback_sql FROM n JOIN (VALUES {values}) f(t, b, r) ON n.k % 4 = f.t"
+
+
+ORACLES["rollback_texts"] = "WITH n AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY 'o/' || o_orderkey || '.sql') AS seq FROM orders) " + " UNION ALL ".join(_dialect_texts(d) for d in ("mysql", "postgresql", "gaussdb"))
+ORACLES["rollback_replace"] = """
+SELECT 'o/' || o_orderkey || '.sql' AS file_path, 'REPLACE' AS stmt_kind, CASE o_orderkey % 2 WHEN 0 THEN '"t" WHERE "id" IN (' || o_orderkey || ', 2)' ELSE '"u"' END AS old_rows, true AS partial, true AS reliable, true AS requires_lock,
+  CASE o_orderkey % 2 WHEN 0 THEN 'REPLACE rollback incomplete: cannot DELETE newly inserted rows statically, manual cleanup required' ELSE 'no primary key, full table backup' END AS warning FROM orders
+"""
 ORACLES["rollback_names"] = """
 WITH o AS (SELECT o_orderkey, 'o/' || o_orderkey || '.sql' AS file_path, o_orderkey % 16 AS t FROM orders), n AS (SELECT *, row_number() OVER (ORDER BY file_path) AS seq, sum(CASE WHEN t IN (2, 3, 13) THEN 1 ELSE 0 END) OVER (ORDER BY file_path) AS b FROM o)
 SELECT file_path, CAST(seq AS BIGINT) AS seq, 'bks_' || CASE WHEN t = 13 THEN 't_' || o_orderkey ELSE 'orders' END || '_20240101_' || lpad(CAST(b AS VARCHAR), CAST(greatest(4, length(CAST(b AS VARCHAR))) AS INTEGER), '0') AS backup_table FROM n WHERE t IN (2, 3, 13)

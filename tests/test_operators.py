@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.operators import engine, packs, plan_findings, relations, replay, reports, rollback
+from plumbline.operators import engine, incremental, packs, plan_findings, relations, replay, reports, rollback
 from plumbline.operators.parse import parse_scripts
-from plumbline.operators.rules import ALL, BY_ID, CORE, GAUSS
+from plumbline.operators.rules import ALL, BY_ID, CORE, GAUSS, user_rule
 from plumbline.sources import diff, files, mapper
 from plumbline.streaming import check_stream
 
@@ -176,6 +176,82 @@ def test_cache(spark, tmp_path):
     cached = spark.read.parquet(str(tmp_path / "c")).where("run_signature = 'sig'")
     misses, hits_ = reports.cache_split(f.withColumn("size", F.when(F.col("file_path") == "b", 3).otherwise(F.col("size"))), cached)
     assert [r.file_path for r in misses.collect()] == ["b"] and hits_.where("rule_id is not null").count() == 1
+    again = f.where("file_path = 'a'").withColumn("size", F.lit(9).cast("long"))
+    for _ in range(2):  # a file that is checked again takes the place of its rows
+        reports.cache_write(reports.cache_rows(again, found), str(tmp_path / "c"), "sig")
+    assert sorted((r.file_path, r["size"], r.rule_id) for r in reports.cache_read(spark, str(tmp_path / "c"), "sig").collect()) == [("a", 9, "DML001"), ("b", 2, None)]
+    assert reports.cache_read(spark, str(tmp_path / "c"), "other") is None
+
+
+def test_paths_of_a_diff_match_by_their_ends(spark):
+    paths = spark.createDataFrame([(p,) for p in ("/w/repo/sql/a.sql", "b.sql", "./sub/c.sql", "xa.sql", "win\\d.sql")], "file_path string")
+    diff_ = spark.createDataFrame([(p,) for p in ("sql/a.sql", "a.sql", "deep/b.sql", "sub/c.sql", "win/d.sql")], "path string")
+    got = {r.file_path: r.path for r in incremental.match_paths(paths, diff_).collect()}
+    assert got == {"/w/repo/sql/a.sql": "sql/a.sql", "b.sql": "deep/b.sql", "./sub/c.sql": "sub/c.sql", "win\\d.sql": "win/d.sql"}
+    whole = spark.createDataFrame([(".",)], "path string")
+    assert incremental.match_paths(paths, whole).count() == 5
+
+
+def test_check_of_a_diff_with_mappers(spark):
+    sql = spark.createDataFrame([("r/a.sql", "dml", b"DELETE FROM a;\nDELETE FROM b;\r\n"), ("r/z.sql", "dml", b"DELETE FROM z")], "file_path string, script_type string, content binary").withColumn("text", F.col("content").cast("string"))
+    xml = spark.createDataFrame([("r/m.xml", b'<mapper namespace="m">\n<delete id="d">DELETE FROM t</delete>\n<delete id="e">DELETE FROM u</delete></mapper>')], "file_path string, content binary").withColumn("text", F.col("content").cast("string"))
+    hunks = spark.createDataFrame([("a.sql", "new", 2, 2, False), ("m.xml", "new", 3, 3, False)], schemas.HUNKS)
+    got = incremental.check_diff(sql, hunks, [BY_ID["DML002"]], xml).collect()
+    assert sorted((r.file_path, r.rule_id, r.line) for r in got) == [("r/a.sql", "DML002", 2), ("r/a.sql", "FILE002", 2), ("r/m.xml", "DML002", 3)]
+
+
+def test_scan_of_mappers(spark, tmp_path):
+    for name in ("src/a/mapper/OneMapper.xml", "src/a/mapper/deep/two.xml", "src/b/mapper/x.txt", "src/b/other/three.xml", "node_modules/mapper/n.xml", "lit/four.xml"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("<mapper/>")
+    scan = lambda *a, **k: sorted((r.file_path.split("src/")[-1].split("/lit/")[-1], r.entry) for r in mapper.scan(spark, str(tmp_path), *a, **k).collect())
+    assert scan(("src/**/mapper", "lit", "src", "none")) == [("a/mapper/OneMapper.xml", 0), ("a/mapper/deep/two.xml", 0), ("b/other/three.xml", 2), ("four.xml", 1)]
+    assert scan(("src",), ("*Mapper.xml",)) == [("a/mapper/OneMapper.xml", 0)] and scan(("src/*/other/*.xml",)) == [("b/other/three.xml", 0)] and scan(("none",)) == []
+
+
+def test_rules_of_a_user(spark, tmp_path):
+    (tmp_path / "r.sql").write_text("case when s.kind = 'SELECT' then array(named_struct('message', concat('limit {n}'), 'line', s.line, 'column', s.`column`)) else cast(array() as array<struct<message:string,line:bigint,column:bigint>>) end")
+    (tmp_path / "bad.sql").write_text("array(1")
+    rules = [user_rule(spark, "U1", str(tmp_path / "r.sql"), params={"n": 3}, group="mine"), user_rule(spark, "U2", str(tmp_path / "bad.sql"), applies_to=("ddl",)), user_rule(spark, "U3", "/none/x.sql", severity="error")]
+    found = engine.check(scripts(spark, ("f.sql", "dml", "SELECT 1")), rules).collect()
+    assert sorted((r.rule_id, r.severity, r.message, r.line) for r in found) == [("U1", "warning", "limit 3", 1), ("U3", "error", "Rule script not found: /none/x.sql", None)]
+    assert engine.check(scripts(spark, ("f.sql", "ddl", "SELECT 1")), rules).where("rule_id = 'U2'").first().message.startswith("Rule execution error: ")
+
+
+def test_long_literals_do_not_use_the_stack(spark):
+    assert hits(spark, "SELECT a FROM t WHERE b = '" + "x''" * 30000 + "' OR c = 1", rules=[BY_ID["DML108"], BY_ID["DML111"]]) == [("DML111", 1)]
+    assert hits(spark, "DELETE FROM t WHERE 'it''s'", rules=[BY_ID["DML108"]]) == [("DML108", 1)]
+
+
+def test_fixtures_are_bound(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps({"a": ["1", None], "b": []}))
+    s = spark.createDataFrame([("a", "SELECT ? + ? + ?"), ("b", "SELECT '?', ?"), ("c", "SELECT 1 -- ?")], "id string, sql string")
+    fixtures = replay.read_fixtures(spark, str(tmp_path / "f.json"))
+    assert {r.id: (r.has_fixture, r.bound) for r in replay.bind(s, fixtures).collect()} == {"a": (True, ["1", None, None]), "b": (True, [None]), "c": (False, [])}
+    assert {r.id: (r.has_fixture, r.bound) for r in replay.bind(s, fixtures, "1").collect()} == {"a": (True, ["1", None, "1"]), "b": (True, ["1"]), "c": (True, [])}
+
+
+def test_running_numbers_over_many_ranges(spark):
+    rows = spark.range(500).selectExpr("concat('f', lpad(cast(id as string), 4, '0')) file_path", "id % 3 n")
+    got = {r.file_path: r.n_before for r in rollback.running(rows, ["n"]).collect()}
+    assert got == {f"f{k:04}": sum(j % 3 for j in range(k)) for k in range(500)}
+
+
+def test_pack_listing_vendor_and_add(spark, tmp_path):
+    pack = tmp_path / "mine"
+    pack.mkdir()
+    (pack / "pack.toml").write_text('[pack]\nname = "mine"\nversion = "1.0"\nnamespace = "m"\napi_version = 1\n[[rules]]\nid = "m:A1"\n')
+    info = packs.read_pack(str(pack))
+    assert info["rule_count"] == 1 and "43 rule(s) effective" in packs.listing([info]) and json.loads(packs.listing([], as_json=True))["rule_count"] == 43
+    assert packs.vendor({"mine": str(pack)}, str(tmp_path / "c")) == [str(tmp_path / "c/vendor/rules/mine")] and (tmp_path / "c/vendor/rules/mine/pack.toml").exists()
+    config = tmp_path / "config.toml"
+    assert 'name = "mine"' in packs.add(str(pack), str(config)) and "other" in packs.add("other@2.1", str(config))
+    for bad in ("mine", "Bad Name"):
+        with pytest.raises(ValueError):
+            packs.add(bad, str(config))
+    with pytest.raises(ValueError):
+        packs.vendor({}, str(tmp_path))
 
 
 def test_packs(spark, tmp_path):
