@@ -31,11 +31,16 @@ def _parse_batches(dialect: str, fallback: tuple[str, ...], ast_type: StructType
     return run
 
 
+#: Bytes of texts for each core below which they are dealt out anew.
+SMALL = 32 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over at least as many tasks as there are cores. Only a scan with fewer splits than cores is dealt out anew; a
-    large one keeps its splits and is not shuffled."""
+    """rows over all cores. A scan with fewer splits than cores, or one so small that its row groups may lie in a few of its splits, is
+    dealt out; a large one keeps its splits and is not shuffled."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(2 * cores) if size < cores * SMALL or rows.rdd.getNumPartitions() < cores else rows
 
 
 def parse_scripts(scripts: DataFrame, dialect: str = "generic", fallback: tuple[str, ...] = (), distinct_text: bool = False) -> DataFrame:
