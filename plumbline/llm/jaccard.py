@@ -319,30 +319,34 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
-    """docs with the key of each row's word sequence, null for a text without words, in `_k1` and `_k2`."""
+    """Each row of docs as `row`, with its id and text and the key of its word sequence (k1, k2; null for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             _, first, keys = shingles(Words(*text_buffer(batch.column("text"))))
             none = np.diff(first) == 0
-            yield pa.record_batch([*batch.columns, *(pa.array(k.view(np.int64), mask=none) for k in keys)], [*batch.schema.names, "_k1", "_k2"])
+            yield pa.record_batch([*batch.columns, *(pa.array(k.view(np.int64), mask=none) for k in keys)], [*batch.schema.names, "k1", "k2"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_k1", LongType()), StructField("_k2", LongType())]))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), "text")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("k1", LongType()), StructField("k2", LongType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, with all columns: that with the least doc_id, then with the least key of its words.
+    """One row of each class, with all columns: that with the least doc_id, then with the least key of its words; of equal ones any.
 
-    Texts without words are classes of their own; of those only exact repeats (doc_id and text) go.
+    Null ids come first. Repeated ids: rows are told apart by their words. Texts without words are classes of their own; of those only
+    exact repeats (doc_id and text) go. Columns may have any names.
     """
     rows = materialize(_classes(docs).select("doc_id", "class_id", "k1", "k2", "class"))
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     best = first.where("k1 is not null").groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("k"), F.min("doc_id").alias("doc_id"))
     chosen = best.select("doc_id", "k.k1", "k.k2").unionByName(first.where("k1 is null").select("doc_id", "k1", "k2").distinct())
-    chosen = chosen.select(F.col("doc_id").alias("_kept_id"), F.col("k1").alias("_kept_k1"), F.col("k2").alias("_kept_k2"))
+    kept_id, kept_k1, kept_k2 = (F.col(c) for c in ("kept_id", "kept_k1", "kept_k2"))
+    chosen = chosen.select(F.col("doc_id").alias("kept_id"), F.col("k1").alias("kept_k1"), F.col("k2").alias("kept_k2"))
     if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        return docs.join(chosen.select("_kept_id"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+        wrapped = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+        return wrapped.join(chosen.select("kept_id"), F.col("own_id").eqNullSafe(kept_id), "left_semi").select("row.*")
     keyed = _with_keys(docs)
-    same = keyed["doc_id"].eqNullSafe(F.col("_kept_id")) & keyed["_k1"].eqNullSafe(F.col("_kept_k1")) & keyed["_k2"].eqNullSafe(F.col("_kept_k2"))
-    kept = keyed.join(chosen, same, "left_semi").withColumn("_text", F.when(F.col("_k1").isNull(), F.col("text")))
-    return kept.dropDuplicates(["doc_id", "_k1", "_k2", "_text"]).drop("_k1", "_k2", "_text")
+    same = F.col("own_id").eqNullSafe(kept_id) & F.col("k1").eqNullSafe(kept_k1) & F.col("k2").eqNullSafe(kept_k2)
+    kept = keyed.join(chosen, same, "left_semi").withColumn("text", F.when(F.col("k1").isNull(), F.col("text")))
+    return kept.dropDuplicates(["own_id", "k1", "k2", "text"]).select("row.*")
