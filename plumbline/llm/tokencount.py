@@ -3,7 +3,7 @@
 A leaf is a run of pre-tokens of about `LEAF` bytes that begins at white space (the first leaf: at the text's start). The
 tokenizer never joins text across white space, so a document's count is the sum over its leaves; inner nodes hold
 subtree sums. An edit replaces the leaves it touches, and the one before where the touched leaf's leading white space is
-itself affected (the boundary context), and then updates the sums above. Edits of all documents of a chunk are applied in
+itself affected (the boundary context), and then updates the sums above the touched slots. Edits of all documents of a chunk are applied in
 step, so that the regions they touch are encoded together.
 
 Defined cases: a null text is empty and a null list has no edits; positions and lengths beyond the text are cut to it; an
@@ -40,15 +40,16 @@ def cut_leaves(text: bytes, size: int = LEAF) -> list[bytes]:
 
 
 class CountTree:
-    """Leaves of one document and the sums above them: node i has children 2i and 2i + 1; sums of characters and tokens."""
+    """Leaves of one document in slots, and sums of characters and tokens above the slots: node i has children 2i and 2i + 1.
 
-    __slots__ = ("chars", "leaves", "size", "tokens")
+    A slot begins with one leaf. An edit puts the leaves that take the place of others into the first slot it touches and empties
+    the others, so it changes the sums above those slots only, however long the document is.
+    """
 
-    def __init__(self, leaves: list[bytes], counts: list[int], chars: list[int]):
-        self.leaves = leaves
-        self._build(counts, chars)
+    __slots__ = ("chars", "size", "slots", "tokens")
 
-    def _build(self, counts: list[int], chars: list[int]) -> None:
+    def __init__(self, leaves: list[bytes], counts: list[int], chars: list[int]):
+        self.slots: list[list[tuple[bytes, int, int]]] = [[leaf] for leaf in zip(leaves, counts, chars, strict=True)]
         size = 1 << max(0, len(counts) - 1).bit_length()
         pad = [0] * (size - len(counts))
         self.size, self.tokens, self.chars = size, [0] * size + counts + pad, [0] * size + chars + pad
@@ -56,44 +57,73 @@ class CountTree:
             for i in range(size - 1, 0, -1):
                 sums[i] = sums[2 * i] + sums[2 * i + 1]
 
-    def find(self, pos: int) -> tuple[int, int]:
-        """The leaf that holds character `pos`, and the place in it."""
+    @property
+    def leaves(self) -> list[bytes]:
+        return [leaf for slot in self.slots for leaf, _, _ in slot]
+
+    def find(self, pos: int) -> tuple[int, int, int]:
+        """Slot, leaf in the slot, and place in the leaf of character `pos`; beyond the end: the last leaf's end."""
         node = 1
         while node < self.size:
             node *= 2
-            if pos >= self.chars[node] and self.chars[node + 1]:
+            if pos >= self.chars[node] and (self.chars[node + 1] or not self.chars[node]):
                 pos -= self.chars[node]
                 node += 1
-        return node - self.size, pos
-
-    def region(self, pos: int, n_delete: int, insert: str) -> tuple[int, int, list[bytes]]:
-        """(first leaf, last leaf + 1, leaves that take their place) of an edit at a character position."""
+        slot = min(node - self.size, len(self.slots) - 1)
+        while not self.slots[slot] and slot:
+            slot -= 1
+        leaf = 0
+        while leaf + 1 < len(self.slots[slot]) and pos >= self.slots[slot][leaf][2]:
+            pos -= self.slots[slot][leaf][2]
+            leaf += 1
+        return slot, leaf, pos
+
+    def before(self, slot: int, leaf: int) -> tuple[int, int] | None:
+        """The leaf before one, or None."""
+        if leaf:
+            return slot, leaf - 1
+        while slot:
+            slot -= 1
+            if self.slots[slot]:
+                return slot, len(self.slots[slot]) - 1
+        return None
+
+    def region(self, pos: int, n_delete: int, insert: str) -> tuple[tuple[int, int], tuple[int, int], list[bytes]]:
+        """(first leaf, last leaf, leaves that take their place) of an edit at a character position; a leaf is (slot, leaf in it)."""
         total = self.chars[1]
         pos = min(max(pos, 0), total)
         n_delete = min(max(n_delete, 0), total - pos)
-        a, at = self.find(pos)
-        b, _ = self.find(pos + max(n_delete - 1, 0))
-        if at == 0 and a:
-            a -= 1
-            at += self.chars[self.size + a]
-        old = b"".join(self.leaves[a : b + 1]).decode()
-        return a, b + 1, cut_leaves((old[:at] + insert + old[at + n_delete :]).encode())
-
-    def replace(self, a: int, b: int, leaves: list[bytes], counts: list[int], chars: list[int]) -> None:
-        n = len(self.leaves)
-        self.leaves[a:b] = leaves
-        if len(leaves) != b - a:
-            of = lambda sums: sums[self.size : self.size + n]
-            old_tokens, old_chars = of(self.tokens), of(self.chars)
-            self._build(old_tokens[:a] + counts + old_tokens[b:], old_chars[:a] + chars + old_chars[b:])
-            return
-        for k, (c, w) in enumerate(zip(counts, chars, strict=True)):
-            node = self.size + a + k
-            more, wide = c - self.tokens[node], w - self.chars[node]
-            while node:
-                self.tokens[node] += more
-                self.chars[node] += wide
-                node //= 2
+        slot, leaf, at = self.find(pos)
+        stop_slot, stop_leaf, _ = self.find(pos + max(n_delete - 1, 0))
+        first, last = (slot, leaf), (stop_slot, stop_leaf)
+        if at == 0 and (ahead := self.before(slot, leaf)):
+            first = ahead
+            at += self.slots[first[0]][first[1]][2]
+        old = b"".join(x for x, _, _ in self._between(first, last)).decode()
+        return first, last, cut_leaves((old[:at] + insert + old[at + n_delete :]).encode())
+
+    def _between(self, first: tuple[int, int], last: tuple[int, int]) -> list[tuple[bytes, int, int]]:
+        if first[0] == last[0]:
+            return self.slots[first[0]][first[1] : last[1] + 1]
+        middle = [leaf for k in range(first[0] + 1, last[0]) for leaf in self.slots[k]]
+        return [*self.slots[first[0]][first[1] :], *middle, *self.slots[last[0]][: last[1] + 1]]
+
+    def replace(self, first: tuple[int, int], last: tuple[int, int], leaves: list[bytes], counts: list[int], chars: list[int]) -> None:
+        rest = self.slots[last[0]][last[1] + 1 :]
+        self.slots[first[0]][first[1] :] = [*zip(leaves, counts, chars, strict=True), *rest]
+        for k in range(first[0] + 1, last[0] + 1):
+            self.slots[k] = []
+        for k in range(first[0], last[0] + 1):
+            self._update(k)
+
+    def _update(self, slot: int) -> None:
+        node = self.size + slot
+        more = sum(c for _, c, _ in self.slots[slot]) - self.tokens[node]
+        wide = sum(w for _, _, w in self.slots[slot]) - self.chars[node]
+        while node and (more or wide):
+            self.tokens[node] += more
+            self.chars[node] += wide
+            node //= 2
 
     @property
     def total(self) -> int:
@@ -143,7 +173,7 @@ def _run(path: str | None):
             data, offs = text_buffer(batch.column("text"))
             raw = data.tobytes()
             trees = build([raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], bpe)
-            before, leaves = [t.total for t in trees], [len(t.leaves) for t in trees]
+            before, leaves = [t.total for t in trees], [len(t.slots) for t in trees]
             spent = apply_edits(trees, [[e for e in x or [] if e] for x in batch.column("edits").to_pylist()], bpe)
             yield pa.record_batch([batch.column("doc_id"), pa.array(before, pa.int64()), pa.array([t.total for t in trees], pa.int64()), pa.array(leaves, pa.int64()), pa.array(spent, pa.int64())], ["doc_id", "n_tokens", "n_tokens_edited", "n_leaves", "reencoded_bytes"])
 
