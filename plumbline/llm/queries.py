@@ -57,6 +57,33 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_license_scan that SQL can state."""
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_url_filter that the given rules decide."""
+    found = op3_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("given"))
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, least and greatest slot, and bytes of each shard of op6_sharding, and whether its slots are all different."""
+    found = op6_sharding(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"))
+    return found
+
+
+def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document in op6_sharding, law, and the range of shards."""
+    return op6_sharding(spark, sf_dir).select("doc_id", "size", "law", F.col("shard").between(0, sharding.SHARDS - 1).alias("placed"), F.col("grown_shard").isNull().alias("not_grown"))
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_media_columns that SQL can state."""
+    return op8_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,9 +94,31 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_license_scan, op3_url_filter, op4_language_id, op5_best_fit_packing,
-        op6_sharding, op7_token_counts, op8_media_columns, op9_decontamination, op10_jaccard_join, pipeline,
+        op6_sharding, op7_token_counts, op8_media_columns, op9_decontamination, op10_jaccard_join, pipeline, license_base, url_rules, shard_sizes, document_sizes, media_payload,
     )
 }
 
-#: None of these can be stated in SQL over whole tables; tests/llm holds each against brute force or an exact round trip.
-ORACLE_SQL: dict[str, str] = {}
+#: What of op2, op3, op6 and op8 SQL can state, over whole tables. The rest (hashing, trained models, alignments) is held against brute
+#: force or an exact round trip in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "license_base": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+p AS (SELECT string_split(phrase, ' ') AS phrase, label FROM (VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')) v(phrase, label)),
+h AS (SELECT doc_id, label, unnest(list_filter(range(len(words)), lambda i: list_slice(words, i + 1, i + len(phrase)) = phrase)) AS place FROM w, p)
+SELECT w.doc_id, len(words) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN h ON w.doc_id = h.doc_id GROUP BY w.doc_id, len(words)
+""",
+    "url_rules": r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+r AS (SELECT * FROM (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) v(h, q, verdict)),
+f AS (SELECT page_id, max_by(h || q, length(h || q)) AS rule, max_by(verdict, length(h || q)) AS given FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, given FROM p LEFT JOIN f USING (page_id)
+""",
+    "shard_sizes": "WITH t AS (SELECT count(*) AS n FROM documents), s AS (SELECT shard, (n - shard + 39) // 40 AS n FROM t, range(40) r(shard)) SELECT CAST(shard AS INTEGER) AS shard, n, CAST(0 AS BIGINT) AS first, n - 1 AS last, n AS slots FROM s WHERE n > 0",
+    "document_sizes": "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, 'rows' AS law, true AS placed, true AS not_grown FROM documents",
+    "media_payload": """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), n AS (SELECT doc_id, raw, octet_length(raw) AS n, greatest(64, (octet_length(raw) + 63) // 64 * 64) AS padded FROM b)
+SELECT doc_id, n AS n_bytes, CAST(padded AS BIGINT) AS payload_bytes, sha256(raw || unhex(repeat('00', CAST(padded - n AS INTEGER)))) AS payload_sha256 FROM n
+""",
+}

@@ -29,6 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def in_blocks(rows: DataFrame) -> DataFrame:
     """rows (.., copies) with `block`: a row of very many copies becomes several, each of at most `COPIES_AT_ONCE`, to be dealt apart."""
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE)))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 LONG = "the quick brown fox jumps over the lazy dog and runs on " * 8000
 
@@ -17,7 +18,10 @@ def edge(spark):
         (6, "12 345 !!!", "de", "c", 3, "w", None),
         (7, "licensed under the MIT license, and under the GNU General Public License version 3; MIT License", "en", "c", 3, "w", None),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sig string, score double")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sig string, score double")
+    for k, name in enumerate("words present starts p0 postings bucket block row place host path verdict media k1 k2 _k1 _kept_id kept_id class size text_crc32 task open fill".split()):
+        frame = frame.withColumn(name, F.lit(k) if k % 2 else F.lit("x"))
+    return frame
 
 
 @pytest.fixture(scope="session")

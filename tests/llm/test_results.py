@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm import components, decontam, jaccard, langid, license, media, packing, quality, sharding, tokencount, urlrules
-from plumbline.llm.queries import QUERIES
+from plumbline.llm.queries import ORACLE_SQL, QUERIES
 from plumbline.llm.textvec import Words, text_buffer
 from plumbline.llm.wordbpe import WordBpe
 
@@ -615,3 +616,52 @@ def test_a_row_of_very_many_copies_is_dealt_in_blocks(spark, monkeypatch):
     assert sorted(g.row for g in got) == list(range(300)) and sum(g.doc_id == 1 for g in got) == 200
     for s in range(7):
         assert sorted(g.slot for g in got if g.shard == s) == list(range(len([g for g in got if g.shard == s])))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    cur = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    df = QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(tuple(r[c] for c in names) for r in df.collect()) == Counter(cur.fetchall())
+
+
+def test_edits_touch_only_their_slots():
+    """An insertion of many leaves in a long text changes one slot and the sums above it; nothing else is built again."""
+    bpe = WordBpe.load()
+    (tree,) = tokencount.build([("word " * 20000).encode()], bpe)
+    slots = [id(x) for x in tree.slots]
+    spent = tokencount.apply_edits([tree], [[{"pos": 50000, "n_delete": 0, "insert": " new" * 2000}, {"pos": 50004, "n_delete": 7000, "insert": ""}]], bpe)
+    text = "word " * 20000
+    text = text[:50000] + " new" * 2000 + text[50000:]
+    text = text[:50004] + text[57004:]
+    assert b"".join(tree.leaves).decode() == text and tree.total == len(bpe.tok.encode(text, add_special_tokens=False).ids)
+    assert sum(a != id(b) for a, b in zip(slots, tree.slots, strict=True)) <= 1 and spent[0] < 20000
+
+
+def test_ties(spark):
+    """Equal texts, equal scores, equal lengths: the same result whatever the order and partitions of the rows."""
+    rows = [(i, t) for i, t in enumerate(["one two three four five six seven", "one two three four five six seven", "a b c", "", None, "x " * 400] * 3)]
+    schema = "doc_id long, text string"
+    bench = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five"), (3, "three four five six seven")], "item_id long, text string")
+    seen = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, schema).repartition(5)
+        found = sorted(tuple(r) for r in decontam.contaminated(df, bench).collect())
+        classes = sorted(tuple(r) for r in jaccard.near_duplicates(df).collect())
+        lengths = sorted((r.doc_id, r.length) for r in packing.pack(df, capacity=64).collect())
+        shards = sorted((r.doc_id, r.shard, r.slot) for r in sharding.assign(df, 5).collect())
+        seen.append((found, classes, lengths, shards))
+    assert seen[0] == seen[1]
+    assert {(d, i) for d, i, *_ in seen[0][0]} == {(d, i) for d, t in rows if t and t.startswith("one") for i in (1, 2, 3)}
+
+
+def test_a_very_long_url_is_judged(spark):
+    long = "http://a.com/en/" + "x/" * 20000 + "?" + "&".join(f"q{i}=1" for i in range(3000))
+    rows = spark.createDataFrame([(1, long), (2, "http://b.info/fr/" + "y" * 100000), (3, "http://a.com/en/1")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.rule) for r in urlrules.judge(rows).collect()}
+    assert got[1] == got[3] == ("block", "com/en/") and got[2][1] is None
