@@ -44,7 +44,7 @@ BLOCK_BYTES = 32 << 20
 #: Seed hits that a window must have (fewer for items that can be found by fewer words).
 HITS = 4
 #: Seed hits that are followed up at a time (those of one document stay together).
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18
 _ALIGN = 512
 
 

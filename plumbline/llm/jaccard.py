@@ -40,6 +40,9 @@ BUCKET_BLOCK, BUCKET_BLOCKS = 512, 16
 #: Bits of the filter that tells a worker which texts a group needs, as a power of two of 16 bits a node: 8 to 64 MB. Beyond that it only passes more.
 FILTER_BITS, MOST_FILTER_BITS = 1 << 26, 1 << 29
 
+#: Rows of a block's matrix that are worked on at a time.
+_ROWS = 256
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -226,8 +229,12 @@ def exact_links(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndar
         part = np.zeros((n, width), np.float32)
         part[row[a:b], col[a:b] - at] = 1
         inter += part @ part.T
-    union = size[:, None] + size[None, :] - inter
-    return (inter >= threshold * union - 1e-6) & ~np.eye(n, dtype=bool)
+    link = np.zeros((n, n), bool)
+    for at in range(0, n, _ROWS):  # a few rows at a time: a matrix of the whole block is held in single precision only once
+        own = inter[at : at + _ROWS]
+        link[at : at + _ROWS] = own >= threshold * (size[at : at + _ROWS, None] + size[None, :] - own) - 1e-6
+    np.fill_diagonal(link, False)
+    return link
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +250,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             link = exact_links([np.frombuffer(x, np.uint64) for x in raw[h:t]])
             if own["i"][0] != own["j"][0]:  # two blocks of one group: pairs inside a block belong to other tasks
                 link &= own["block"][:, None] != own["block"][None, :]
-            links = link @ own["copies"]
+            links = np.concatenate([np.where(link[at : at + _ROWS], own["copies"], 0).sum(1) for at in range(0, t - h, _ROWS)])
             some = np.flatnonzero(links)
             out.append([own["k1"][some], own["k2"][some], np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), links[some]])
             e = _forest(t - h, lambda i, others, link=link: np.flatnonzero(link[i, others]))

@@ -46,15 +46,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep_rows(docs: DataFrame, mask) -> DataFrame:
-    """Rows of docs for which `mask(record batch)` is true, with all columns: one pass, no shuffle."""
+def keep_rows(docs: DataFrame, mask, limit: int | None = None) -> DataFrame:
+    """Rows of docs for which `mask(record batch)` is true, with all columns: one pass, no shuffle. `limit`: bytes of text at a time."""
     import pyarrow as pa
 
-    from plumbline.llm.textvec import chunks
+    from plumbline.llm.textvec import CHUNK_BYTES, chunks
 
     def run(batches):
         judge = mask()
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", limit or CHUNK_BYTES):
             yield batch.filter(pa.array(judge(batch)))
 
     return docs.mapInArrow(run, docs.schema)
