@@ -55,6 +55,15 @@ def parse_scripts(scripts: DataFrame, dialect: str = "generic", fallback: tuple[
     return spread(scripts).mapInArrow(run, StructType([*scripts.schema.fields]).add("ast", ast_type))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows that come from parse results, as a side of a join: it is sorted and merged, whatever its estimated size.
+
+    Spark's estimate takes no notice of how wide `mapInArrow` makes a row, and then divides by that width for a few columns of it, so all rows
+    of a corpus look like some KB and would be broadcast, by way of the driver.
+    """
+    return rows.hint("merge")
+
+
 def statements(asts: DataFrame) -> DataFrame:
     """One row a statement: file_path, script_type, stmt_index and the statement's fields."""
     return asts.select("file_path", "script_type", F.posexplode("ast.statements").alias("stmt_index", "s")).select("file_path", "script_type", "stmt_index", "s.*")

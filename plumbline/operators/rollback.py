@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from plumbline.functions.lexer import values_tuples
+from plumbline.operators.parse import shuffled
 
 
 @dataclass(frozen=True)
@@ -191,7 +192,7 @@ def running(files: DataFrame, columns: list[str]) -> DataFrame:
     base = totals.select("_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in columns])
     own = Window.partitionBy("_range").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
     summed = ranged.select("file_path", "_range", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(c) for c in columns])
-    return summed.join(base, "_range").select("file_path", *[(F.col(c) + F.col(f"_{c}")).alias(f"{c}_before") for c in columns])
+    return summed.join(F.broadcast(base), "_range").select("file_path", *[(F.col(c) + F.col(f"_{c}")).alias(f"{c}_before") for c in columns])
 
 
 def pairs(asts: DataFrame, o: Options = Options()) -> DataFrame:
@@ -200,7 +201,7 @@ def pairs(asts: DataFrame, o: Options = Options()) -> DataFrame:
     full = f"({_FULL} and not ('{o.backup_mode}' = 'incremental' and s.kind = 'ALTER_TABLE'))"
     backed_up = f"({full} or s.kind in ('UPDATE', 'DELETE', 'TRUNCATE') or {replaces})"
     counts = asts.select("file_path", F.expr("cast(size(ast.statements) as bigint)").alias("n"), F.expr(f"cast(size(filter(ast.statements, s -> {backed_up})) as bigint)").alias("b"))
-    rows = asts.select("file_path", F.expr("ast.statements").alias("statements")).join(running(counts, ["n", "b"]), "file_path").select("file_path", "n_before", "b_before", F.posexplode("statements").alias("stmt_index", "s"))
+    rows = asts.select("file_path", F.expr("ast.statements").alias("statements")).join(shuffled(running(counts, ["n", "b"])), "file_path").select("file_path", "n_before", "b_before", F.posexplode("statements").alias("stmt_index", "s"))
     has_backup = F.expr(backed_up)
     own = Window.partitionBy("file_path").orderBy("stmt_index")
     rows = rows.withColumn("seq", F.col("n_before") + F.col("stmt_index") + 1).withColumn("backup_seq", F.when(has_backup, F.col("b_before") + F.sum(has_backup.cast("long")).over(own)))

@@ -302,3 +302,12 @@ def test_text_slice(spark):
     one = lambda *a: row.select(text_slice(F.col("t"), *a).alias("x")).first().x
     assert [one(1, 2, 2, 3), one(2, 3, 2, 0), one(2, 2, 2, 4), one(2, 1, 1, 1), one(4, 9, 4, 0), one(3, 1, 9, 2), one(0, 0, 1, 99)] == ["b\ncd", "ef", "de", "", "", "\ngh", "ab"]
     assert row.select(line_range(F.col("t"), 2, 3).alias("x")).first().x == "cdef\n"
+
+
+@pytest.mark.parametrize("name", ["rollback_names", "rollback_scripts", "rollback_texts", "values_and_sets", "rollback_manifest", "rollback_pairs", "rollback_review", "rollback_sql", "rollback_replace"])
+def test_parse_results_are_not_broadcast(spark, sf, name):
+    """Their estimated size is far too low, so a broadcast would take a whole corpus through the driver."""
+    from plumbline.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
