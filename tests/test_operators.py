@@ -311,3 +311,22 @@ def test_parse_results_are_not_broadcast(spark, sf, name):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
+
+
+@pytest.mark.parametrize("name", ["select_accessors"])
+def test_joins_with_parse_results_are_merged(spark, name):
+    """Nothing that comes out of the parser is the broadcast side of a join. Planned over tables that are too large for other broadcasts."""
+    from plumbline.plans.catalog import QUERIES
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        lines = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    lines = [x for x in lines if x.lstrip(" :")[:2] in ("+-", "- ")]  # others go on with a literal that has line ends
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((k for k in range(at + 1, len(lines)) if depth(lines[k]) <= depth(line)), len(lines))
+            assert not any("MapInArrow" in x for x in lines[at:below])
