@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from plumbline.functions.lexer import count_placeholders, is_ctas, max_in_params
+from plumbline.operators.parse import shuffled
 
 _TYPES = {"SELECT": "select", "INSERT": "insert", "UPDATE": "update", "DELETE": "delete", "MERGE": "merge"} | dict.fromkeys(("CREATE_TABLE", "CREATE_INDEX", "CREATE_VIEW", "ALTER_TABLE", "TRUNCATE", "GRANT", "REVOKE"), "ddl") | {"PARSE_ERROR": "other"}
 _SESSION = ("START_TRANSACTION", "COMMIT", "ROLLBACK", "SET_VARIABLE", "USE")
@@ -69,7 +70,7 @@ def changed(statements: DataFrame, hunks: DataFrame) -> DataFrame:
     h = hunks.where("side = 'new'").select(F.col("path").alias("source"), "start_line", F.col("end_line").alias("stop_line"), "is_new")
     on = (statements["source"] == h["source"]) & (statements["line"] <= h["stop_line"]) & (statements["end_line"] >= h["start_line"])
     new_files = h.groupBy("source").agg(F.max("is_new").alias("is_new"))
-    hit = statements.join(h, on, "left_semi").join(new_files, "source")
+    hit = shuffled(statements.join(h, on, "left_semi")).join(new_files, "source")
     return hit.select(*statements.columns, F.when(F.col("is_new"), "added").otherwise("modified").alias("change"))
 
 
@@ -80,7 +81,7 @@ def removed(old: DataFrame, new: DataFrame, hunks: DataFrame) -> DataFrame:
     base = lambda c: F.regexp_replace(c, r"#v\d+$", "")
     gone = old.join(h, on, "left_semi")
     kept = new.select(base(F.col("id")).alias("_base")).distinct()
-    return gone.withColumn("_base", base(F.col("id"))).join(kept, "_base", "left_anti").drop("_base").select("id", "sql", "type", "source", "line", "end_line")
+    return gone.withColumn("_base", base(F.col("id"))).join(shuffled(kept), "_base", "left_anti").drop("_base").select("id", "sql", "type", "source", "line", "end_line")
 
 
 _PROBE = StructType().add("placeholders", IntegerType()).add("in_params", IntegerType()).add("ctas", BooleanType())

@@ -313,7 +313,7 @@ def test_parse_results_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
 
 
-@pytest.mark.parametrize("name", ["select_accessors"])
+@pytest.mark.parametrize("name", ["select_accessors", "replay_changed", "replay_removed"])
 def test_joins_with_parse_results_are_merged(spark, name):
     """Nothing that comes out of the parser is the broadcast side of a join. Planned over tables that are too large for other broadcasts."""
     from plumbline.plans.catalog import QUERIES
