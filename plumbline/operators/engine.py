@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.parse import parse_scripts
+from plumbline.operators.parse import parse_scripts, shuffled
 from plumbline.operators.rules import ALL, Rule
 from plumbline.operators.rules import text as quote
 
@@ -131,7 +131,7 @@ def in_hunks(found: DataFrame, hunks: DataFrame) -> DataFrame:
     """Violations that touch a changed range: the file is new, there is no line range, or a range overlaps a hunk."""
     new_side = hunks.where("side = 'new'")
     files = hunks.groupBy("path").agg(F.max("is_new").alias("is_new"))
-    named = found.join(files.withColumnRenamed("path", "file_path"), "file_path")
+    named = shuffled(found).join(files.withColumnRenamed("path", "file_path"), "file_path")
     free = named.where("is_new or line is null or end_line is null").drop("is_new")
     ranged = named.where("not is_new and line is not null and end_line is not null").drop("is_new")
     h = new_side.select(F.col("path").alias("file_path"), "start_line", F.col("end_line").alias("stop_line"))

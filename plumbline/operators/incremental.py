@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.engine import check, in_hunks
+from plumbline.operators.parse import shuffled
 from plumbline.operators.rules import Rule
 from plumbline.sources import mapper
 from plumbline.sources.files import file_checks
@@ -30,18 +31,18 @@ def match_paths(files: DataFrame, diff: DataFrame) -> DataFrame:
     """files (file_path), diff (path) -> (file_path, path): the path of the diff that names the file, if one does.
 
     A diff's paths begin at the repository's root and the files' elsewhere, so either may be the end of the other, after a slash. Suffixes
-    are joined by equality. Of several paths the longest counts.
+    are joined by equality, and merged: estimates go by compressed sizes, and paths compress well. Of several paths the longest counts.
     """
     f = files.select("file_path").distinct().withColumn("f", _normal(F.col("file_path")))
     d = diff.select("path").distinct().withColumn("p", _normal(F.col("path")))
-    ends = f.select("file_path", F.explode(_suffixes(F.col("f"))).alias("p")).join(d, "p").select("file_path", "path", "p")
-    longer = d.select("path", "p", F.explode(_suffixes(F.col("p"))).alias("f")).where("f <> ''").join(f, "f").select("file_path", "path", "p")
+    ends = f.select("file_path", F.explode(_suffixes(F.col("f"))).alias("p")).join(shuffled(d), "p").select("file_path", "path", "p")
+    longer = d.select("path", "p", F.explode(_suffixes(F.col("p"))).alias("f")).where("f <> ''").join(shuffled(f), "f").select("file_path", "path", "p")
     return ends.unionByName(longer).groupBy("file_path").agg(F.max_by("path", F.struct(F.length("p"), "path")).alias("path"))
 
 
 def hunks_of_files(files: DataFrame, hunks: DataFrame) -> DataFrame:
     """hunks with the files' own paths."""
-    return match_paths(files, hunks).join(hunks, "path").drop("path").withColumnRenamed("file_path", "path")
+    return match_paths(files, hunks).join(shuffled(hunks), "path").drop("path").withColumnRenamed("file_path", "path")
 
 
 def check_diff(files: DataFrame, hunks: DataFrame, rules: Iterable[Rule] | None = None, mappers: DataFrame | None = None, statement_types: dict[str, str] | None = None, dialect: str = "generic", fallback: tuple[str, ...] = (), **options) -> DataFrame:

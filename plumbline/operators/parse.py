@@ -56,7 +56,7 @@ def parse_scripts(scripts: DataFrame, dialect: str = "generic", fallback: tuple[
 
 
 def shuffled(rows: DataFrame) -> DataFrame:
-    """rows that come from parse results, as a side of a join: it is sorted and merged, whatever its estimated size.
+    """rows as a side of a join that is sorted and merged, whatever their estimated size: above all what comes from parse results.
 
     Spark's estimate takes no notice of how wide `mapInArrow` makes a row, and then divides by that width for a few columns of it, so all rows
     of a corpus look like some KB and would be broadcast, by way of the driver.

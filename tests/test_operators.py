@@ -313,7 +313,7 @@ def test_parse_results_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
 
 
-@pytest.mark.parametrize("name", ["select_accessors", "replay_changed", "replay_removed"])
+@pytest.mark.parametrize("name", ["select_accessors", "check_diff", "relation_changed", "replay_changed", "replay_removed"])
 def test_joins_with_parse_results_are_merged(spark, name):
     """Nothing that comes out of the parser is the broadcast side of a join. Planned over tables that are too large for other broadcasts."""
     from plumbline.plans.catalog import QUERIES
@@ -330,3 +330,10 @@ def test_joins_with_parse_results_are_merged(spark, name):
         if "BroadcastExchange" in line:
             below = next((k for k in range(at + 1, len(lines)) if depth(lines[k]) <= depth(line)), len(lines))
             assert not any("MapInArrow" in x for x in lines[at:below])
+
+
+def test_paths_of_a_diff_are_not_broadcast(spark):
+    from plumbline.plans.catalog import QUERIES
+
+    plan = QUERIES["check_diff"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [f#" in plan and "BroadcastHashJoin" not in plan
