@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,10 +16,26 @@ from plumbline import schemas
 from plumbline.plans.parser import parse
 
 
+#: Bytes of texts that are parsed at a time; a parse result holds several copies of its text.
+CHUNK = 1 << 20
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that the texts of each have about `limit` bytes (a longer text stands alone)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _parse_batches(dialect: str, fallback: tuple[str, ...], ast_type: StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_type(ast_type)
-        for batch in batches:
+        for batch in _chunks(batches, CHUNK):
             seen: dict[str, dict] = {}
             rows = []
             for text in batch.column("text").to_pylist():

@@ -337,3 +337,17 @@ def test_paths_of_a_diff_are_not_broadcast(spark):
 
     plan = QUERIES["check_diff"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [f#" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_long_texts_are_parsed_a_few_at_a_time():
+    import pyarrow as pa
+    from pyspark.sql.types import _parse_datatype_string
+
+    from plumbline.operators import parse
+
+    texts = ["SELECT a FROM t WHERE b = '" + "x" * 5000 + f"' -- {k}" for k in range(1000)] + [None, "", "y" * (parse.CHUNK + 1), "SELECT 1"]
+    batch = pa.record_batch([pa.array([str(k) for k in range(len(texts))]), pa.array(texts)], ["file_path", "text"])
+    out = list(parse._parse_batches("generic", (), _parse_datatype_string(schemas.AST))(iter([batch, batch.slice(0, 0)])))
+    assert max(x.num_rows for x in out) <= parse.CHUNK // 5000
+    assert [t for x in out for t in x.column("text").to_pylist()] == texts
+    assert [len(x["statements"]) for b in out for x in b.column("ast").to_pylist()] == [1] * 1000 + [0, 0, 1, 1]
