@@ -2,10 +2,9 @@
 
 Text is lower-cased and read as symbols of 16 bits: 0 for anything that is no letter, else the character itself (the rare letters beyond
 that range share 8192 places that no letter has). Contexts stop at the last non-letter, so a model sees words and their ends. Four
-symbols make a 64-bit code. Codes are counted over all training rows, so what is gathered grows with the corpus; a model keeps
-all of them up to `MODEL_CODES` over all languages, beyond which the rarest go (counts are compared, so a language's codes of
-one count go together) and their probability comes from shorter contexts. Codes lie in sorted arrays that are searched by bisection. The
-lowest cross-entropy per symbol wins.
+symbols make a 64-bit code. Codes are counted over all training rows, and a model keeps all of them, 24 bytes each at most on the driver and in
+every worker, so what is gathered grows with the corpus. Only who passes `most` to `train` gets smaller models, without the rarest codes.
+Codes lie in sorted arrays that are searched by bisection. The lowest cross-entropy per symbol wins.
 
 Rejection is calibrated on an eighth of the training rows that the models do not learn from (a sample of at most `CALIBRATE`): mean and
 spread of their cross-entropy for each language, and how many standard errors the worst of them are off. A row is accepted unless its
@@ -31,8 +30,6 @@ from plumbline.llm.textvec import chunks, segment_sum
 
 ORDER, BITS = 4, 16
 UNKNOWN = "und"
-#: Codes in the models of all languages together: 24 bytes each at most, on the driver and in every worker.
-MODEL_CODES = 1 << 23
 #: Documents on which rejection is calibrated, at most, about; and one in so many training rows is set aside for it.
 CALIBRATE, SET_ASIDE = 4096, 8
 #: The share of those that may lie beyond the limit, what the limit is multiplied by, and its least value in standard errors.
@@ -219,12 +216,12 @@ def _bounded(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(kept)
 
 
-def train(docs: DataFrame, most: int = MODEL_CODES) -> Model:
+def train(docs: DataFrame, most: int | None = None) -> Model:
     """Fit and calibrate on all rows with a language that are not held out."""
     key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("lang", "text", (F.floor(key / 3) % SET_ASIDE == 0).alias("aside"), F.xxhash64("text", "doc_id").alias("draw"))
     counted = rows.where(~F.col("aside")).select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    model = Model(_bounded(materialize(counted), most).toPandas())
+    model = Model((counted if most is None else _bounded(materialize(counted), most)).toPandas())
     aside = rows.where("aside")
     share = int(min(1.0, CALIBRATE / max(aside.count(), 1)) * (1 << 30))
     drawn = aside.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < share).select("lang", "text")

@@ -261,6 +261,13 @@ def test_models_are_bounded(spark, docs):
     assert part.predict(["the and of to in is that was for it with on the"])[0] == ["en"]
 
 
+def test_models_keep_all_codes_whatever_their_number(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "_bounded", lambda counts, most: pytest.fail("codes were left out"))
+    rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~langid.is_held_out())
+    model = langid.train(rows)
+    assert model.languages == sorted(r.lang for r in rows.select("lang").distinct().collect())
+
+
 def test_strange_text_is_rejected(spark, docs):
     model = langid.train(docs)
     names, _, accepted = model.predict(["zzzq xqzj kkkqq vvvxz jqxzk wwwqk zzxqj qqqzv " * 20, "the and of to in is that was for it with on the"])
