@@ -6,7 +6,7 @@ symbols make a 64-bit code. Codes are counted over all training rows, and a mode
 every worker, so what is gathered grows with the corpus. Only who passes `most` to `train` gets smaller models, without the rarest codes.
 Codes lie in sorted arrays that are searched by bisection. The lowest cross-entropy per symbol wins.
 
-Rejection is calibrated on an eighth of the training rows that the models do not learn from (a sample of at most `CALIBRATE`): mean and
+Rejection is calibrated on an eighth of the training rows that the models do not learn from (all of it): mean and
 spread of their cross-entropy for each language, and how many standard errors the worst of them are off. A row is accepted unless its
 cross-entropy is `MARGIN` times as far above the mean.
 
@@ -30,8 +30,8 @@ from plumbline.llm.textvec import chunks, segment_sum
 
 ORDER, BITS = 4, 16
 UNKNOWN = "und"
-#: Documents on which rejection is calibrated, at most, about; and one in so many training rows is set aside for it.
-CALIBRATE, SET_ASIDE = 4096, 8
+#: One in so many training rows is set aside, and rejection is calibrated on these.
+SET_ASIDE = 8
 #: The share of those that may lie beyond the limit, what the limit is multiplied by, and its least value in standard errors.
 REJECT, MARGIN, LEAST_Z = 1e-4, 1.5, 4.0
 #: Spread between documents, as a share of the mean, for languages with too few documents set aside.
@@ -219,12 +219,10 @@ def _bounded(counts: DataFrame, most: int) -> DataFrame:
 def train(docs: DataFrame, most: int | None = None) -> Model:
     """Fit and calibrate on all rows with a language that are not held out."""
     key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("lang", "text", (F.floor(key / 3) % SET_ASIDE == 0).alias("aside"), F.xxhash64("text", "doc_id").alias("draw"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("lang", "text", (F.floor(key / 3) % SET_ASIDE == 0).alias("aside"))
     counted = rows.where(~F.col("aside")).select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     model = Model((counted if most is None else _bounded(materialize(counted), most)).toPandas())
-    aside = rows.where("aside")
-    share = int(min(1.0, CALIBRATE / max(aside.count(), 1)) * (1 << 30))
-    drawn = aside.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < share).select("lang", "text")
+    aside = rows.where("aside").select("lang", "text")
     if not model.languages:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -237,7 +235,7 @@ def train(docs: DataFrame, most: int | None = None) -> Model:
             some = np.flatnonzero(letters & (own >= 0) & (cost.argmin(0) == own))
             yield pa.record_batch([pa.array(own[some]), pa.array(n[some]), pa.array(cost[own[some], some])], ["lang", "n", "cost"])
 
-    seen = drawn.mapInArrow(measure, "lang long, n long, cost double").toPandas()
+    seen = aside.mapInArrow(measure, "lang long, n long, cost double").toPandas()  # 24 bytes a document set aside
     model.calibrate(*(seen[c].to_numpy() for c in ("lang", "n", "cost")))
     return model
 

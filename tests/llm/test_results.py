@@ -268,6 +268,16 @@ def test_models_keep_all_codes_whatever_their_number(spark, docs, monkeypatch):
     assert model.languages == sorted(r.lang for r in rows.select("lang").distinct().collect())
 
 
+def test_rejection_is_calibrated_on_all_rows_set_aside(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.Model, "calibrate", lambda self, lang, n, cost: seen.append(len(lang)))
+    text = "the and of to in is that was for it with on the"
+    rows = spark.range(120_000).selectExpr("id doc_id", f"'{text}' text", "'en' lang")
+    langid.train(rows)
+    crc = [zlib.crc32(str(k).encode()) for k in range(120_000)]
+    assert seen == [sum(c % 3 != 1 and c // 3 % langid.SET_ASIDE == 0 for c in crc)]
+
+
 def test_strange_text_is_rejected(spark, docs):
     model = langid.train(docs)
     names, _, accepted = model.predict(["zzzq xqzj kkkqq vvvxz jqxzk wwwqk zzxqj qqqzv " * 20, "the and of to in is that was for it with on the"])
