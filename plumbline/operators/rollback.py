@@ -186,7 +186,8 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 def running(files: DataFrame, columns: list[str]) -> DataFrame:
     """files (file_path, counts..), one row a file -> file_path and for each count the sum over all files before it (`<count>_before`)."""
-    ranged = _kept(files.repartitionByRange("file_path").withColumn("_range", F.spark_partition_id()))
+    counted = _kept(files)  # ranging reads its input twice, and that is a parse
+    ranged = _kept(counted.repartitionByRange("file_path").withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in columns])
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     base = totals.select("_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in columns])

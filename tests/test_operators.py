@@ -313,6 +313,21 @@ def test_parse_results_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
 
 
+def test_running_reads_its_input_once(spark):
+    """For rollback, computing it is a parse of the whole corpus; ranging alone would do so twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    files = spark.range(1000).selectExpr("concat('f', lpad(id, 4, '0')) file_path", "id % 3 n").mapInPandas(count, "file_path string, n bigint")
+    rows = rollback.running(files, ["n"]).orderBy("file_path").collect()
+    assert [r.n_before for r in rows] == [sum(i % 3 for i in range(k)) for k in range(1000)]
+    assert seen.value == 1000
+
+
 @pytest.mark.parametrize("name", ["select_accessors", "check_diff", "relation_changed", "replay_changed", "replay_removed"])
 def test_joins_with_parse_results_are_merged(spark, name):
     """Nothing that comes out of the parser is the broadcast side of a join. Planned over tables that are too large for other broadcasts."""
