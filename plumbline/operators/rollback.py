@@ -196,13 +196,28 @@ def running(files: DataFrame, columns: list[str]) -> DataFrame:
     return summed.join(F.broadcast(base), "_range").select("file_path", *[(F.col(c) + F.col(f"_{c}")).alias(f"{c}_before") for c in columns])
 
 
-def pairs(asts: DataFrame, o: Options = Options()) -> DataFrame:
-    """One row a statement: backup and rollback SQL, safety flags, review level, lock type and warnings. Paths of files are unique."""
+def _conditions(o: Options) -> tuple[str, str, str]:
+    """Expressions: statement `s` is a REPLACE of its own kind, gets a full backup, gets any backup."""
     replaces = "(s.kind = 'INSERT' and s.insert.replace)" if o.replace_kind else "false"
     full = f"({_FULL} and not ('{o.backup_mode}' = 'incremental' and s.kind = 'ALTER_TABLE'))"
-    backed_up = f"({full} or s.kind in ('UPDATE', 'DELETE', 'TRUNCATE') or {replaces})"
+    return replaces, full, f"({full} or s.kind in ('UPDATE', 'DELETE', 'TRUNCATE') or {replaces})"
+
+
+def numbers(asts: DataFrame, o: Options = Options()) -> DataFrame:
+    """(file_path, n_before, b_before): statements and backups in all files before it. The dialect does not matter, so several can share them."""
+    _, _, backed_up = _conditions(o)
     counts = asts.select("file_path", F.expr("cast(size(ast.statements) as bigint)").alias("n"), F.expr(f"cast(size(filter(ast.statements, s -> {backed_up})) as bigint)").alias("b"))
-    rows = asts.select("file_path", F.expr("ast.statements").alias("statements")).join(shuffled(running(counts, ["n", "b"])), "file_path").select("file_path", "n_before", "b_before", F.posexplode("statements").alias("stmt_index", "s"))
+    return running(counts, ["n", "b"])
+
+
+def pairs(asts: DataFrame, o: Options = Options(), before: DataFrame | None = None) -> DataFrame:
+    """One row a statement: backup and rollback SQL, safety flags, review level, lock type and warnings. Paths of files are unique.
+
+    `before`: the `numbers` of these files, if they are there already.
+    """
+    replaces, full, backed_up = _conditions(o)
+    before = numbers(asts, o) if before is None else before
+    rows = asts.select("file_path", F.expr("ast.statements").alias("statements")).join(shuffled(before), "file_path").select("file_path", "n_before", "b_before", F.posexplode("statements").alias("stmt_index", "s"))
     has_backup = F.expr(backed_up)
     own = Window.partitionBy("file_path").orderBy("stmt_index")
     rows = rows.withColumn("seq", F.col("n_before") + F.col("stmt_index") + 1).withColumn("backup_seq", F.when(has_backup, F.col("b_before") + F.sum(has_backup.cast("long")).over(own)))

@@ -556,9 +556,9 @@ def rollback_sql(spark, sf):
 def rollback_texts(spark, sf):
     """Whole backup and rollback texts in three dialects."""
     asts = _asts(spark, sf, [("ddl", "DROP TABLE t{k}"), ("ddl", "ALTER TABLE t{k} DROP COLUMN c"), ("dml", "TRUNCATE TABLE t{k}"), ("dml", "DELETE FROM t{k} WHERE a = 1")])
-    out = None
+    before, out = rollback.numbers(asts), None
     for dialect in ("mysql", "postgresql", "gaussdb"):
-        found = rollback.pairs(asts, rollback.Options(dialect=dialect)).select("file_path", F.lit(dialect).alias("dialect"), F.rtrim("backup", F.lit("\n")).alias("backup_sql"), F.rtrim("rollback", F.lit("\n")).alias("rollback_sql"))
+        found = rollback.pairs(asts, rollback.Options(dialect=dialect), before).select("file_path", F.lit(dialect).alias("dialect"), F.rtrim("backup", F.lit("\n")).alias("backup_sql"), F.rtrim("rollback", F.lit("\n")).alias("rollback_sql"))
         out = found if out is None else out.unionByName(found)
     return out
 

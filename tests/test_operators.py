@@ -328,6 +328,20 @@ def test_running_reads_its_input_once(spark):
     assert seen.value == 1000
 
 
+def test_rollback_texts_number_the_corpus_once(spark, sf, monkeypatch):
+    from plumbline.plans.catalog import QUERIES
+
+    runs, running = [], rollback.running
+    monkeypatch.setattr(rollback, "running", lambda *a: runs.append(a) or running(*a))
+    QUERIES["rollback_texts"](spark, sf)
+    assert len(runs) == 1
+    asts = parse_scripts(scripts(spark, ("b.sql", "dml", "DELETE FROM t; DROP TABLE u"), ("a.sql", "dml", "TRUNCATE TABLE t"), ("c.sql", "dml", "DELETE FROM v")))
+    shared = rollback.numbers(asts)
+    for dialect in ("mysql", "gaussdb"):
+        o = rollback.Options(dialect=dialect)
+        assert rollback.pairs(asts, o, shared).orderBy("seq").collect() == rollback.pairs(asts, o).orderBy("seq").collect()
+
+
 @pytest.mark.parametrize("name", ["select_accessors", "check_diff", "relation_changed", "replay_changed", "replay_removed"])
 def test_joins_with_parse_results_are_merged(spark, name):
     """Nothing that comes out of the parser is the broadcast side of a join. Planned over tables that are too large for other broadcasts."""
