@@ -313,6 +313,19 @@ def test_parse_results_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
 
 
+@pytest.mark.parametrize("name", ["values_and_sets"])
+def test_only_totals_are_broadcast(spark, sf, name):
+    """In the plan that ran: adaptive execution may still turn a merged join into a broadcast one."""
+    from plumbline.plans.catalog import QUERIES
+
+    rows = QUERIES[name](spark, sf)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan()
+    assert plan.isFinalPlan()
+    joins = [x for x in plan.finalPhysicalPlan().toString().splitlines() if "BroadcastHashJoin" in x or "SortMergeJoin" in x]
+    assert joins and all(("BroadcastHashJoin [_range" in x) != ("SortMergeJoin [file_path" in x) for x in joins) and any("SortMergeJoin" in x for x in joins)
+
+
 def test_running_reads_its_input_once(spark):
     """For rollback, computing it is a parse of the whole corpus; ranging alone would do so twice."""
     seen = spark.sparkContext.accumulator(0)
