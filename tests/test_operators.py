@@ -313,7 +313,7 @@ def test_parse_results_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
 
 
-@pytest.mark.parametrize("name", ["values_and_sets", "rollback_manifest", "rollback_pairs"])
+@pytest.mark.parametrize("name", ["values_and_sets", "rollback_manifest", "rollback_pairs", "rollback_review"])
 def test_only_totals_are_broadcast(spark, sf, name):
     """In the plan that ran: adaptive execution may still turn a merged join into a broadcast one."""
     from plumbline.plans.catalog import QUERIES
